@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketlane.llm import bpe, chat, media
+from bucketlane.llm import bpe, chat, decontam, lm, media, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.held_out(F.col("doc_id"))
+    model = lm.train(docs.where(~out).select("text"))
+    return lm.score(docs, model).withColumn("held_out", out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -33,11 +40,22 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(rows.unionByName(extra))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_chat": op5_chat, "op10_media": op10_media}
+QUERIES = {
+    "op2_bpe": op2_bpe, "op4_lm": op4_lm, "op5_chat": op5_chat, "op6_simhash": op6_simhash, "op9_decontam": op9_decontam, "op10_media": op10_media,
+}
 
 _CHAT = r"""
 WITH t AS (
