@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketlane.llm import bpe, chat, decontam, licences, lm, media, simhash
+from bucketlane.llm import bpe, chat, decontam, langid, licences, lm, media, pages, quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,22 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Trained on the labelled documents that aren't held out."""
+    return langid.train(docs.where(~lm.held_out(F.col("doc_id"), 4)))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, language_model(docs))
+    return found.select("doc_id", lm.held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), *vocabulary())
 
@@ -45,6 +61,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -58,7 +78,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_bpe": op2_bpe, "op4_lm": op4_lm, "op5_chat": op5_chat, "op6_simhash": op6_simhash, "op8_licences": op8_licences, "op9_decontam": op9_decontam, "op10_media": op10_media,
+    "op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_chat": op5_chat, "op6_simhash": op6_simhash,
+    "op7_pages": op7_pages, "op8_licences": op8_licences, "op9_decontam": op9_decontam, "op10_media": op10_media,
 }
 
 _CHAT = r"""
