@@ -88,6 +88,8 @@ def mapping(record) -> tuple[int, Mapping | None]:
     """Fingerprint of a record and the first mapping that covers its layout. Paths of no mapping are refused."""
     found = paths(record)
     print_ = fingerprint(found)
+    if not isinstance(record, dict):
+        return print_, None
     if print_ not in _KNOWN:
         _KNOWN[print_] = next((m for m in MAPPINGS if m.needs <= found <= m.needs | m.may), None)
     return print_, _KNOWN[print_]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 # Published licence sentences, by identifier.
 SENTENCES = {
+    "GNU-PROGRAM": "This program is free software:",
     "MIT-GRANT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MIT-NOTICE": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-ASIS": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
