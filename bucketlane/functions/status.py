@@ -88,3 +88,15 @@ def recovered(local: Column, local_generation: Column, remote: Column, remote_ge
         .when(remote.isNull() | remote.isin(SENT, GARBAGE), F.lit(ACTIVE))
         .otherwise(local)
     )
+
+
+def can_retry(name: Column, is_timeout: Column) -> Column:
+    """Whether a read can be tried on another replica after this error."""
+    return F.coalesce(name.isin("WRONG_BUCKET", "TRANSFER_IS_IN_PROGRESS"), F.lit(False)) | F.coalesce(is_timeout, F.lit(False))
+
+
+def can_backoff(name: Column, function: Column, service_prefix: str) -> Column:
+    """Whether a replica needs a pause after this error: only for the engine's own functions, as others may have had
+    effects before they failed."""
+    pause = name.isin("ACCESS_DENIED", "NO_SUCH_PROC", "STORAGE_IS_DISABLED", "INSTANCE_NAME_MISMATCH")
+    return F.coalesce(pause & F.startswith(function, F.lit(service_prefix)), F.lit(False))

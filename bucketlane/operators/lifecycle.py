@@ -123,6 +123,30 @@ def expire(redirects: DataFrame, old: DataFrame) -> DataFrame:
     return redirects.exceptAll(old)
 
 
+def guarded(before: DataFrame, now: DataFrame, changed: DataFrame) -> DataFrame:
+    """The changed rows (id, rs_id, ...) whose bucket has had no other status or generation since `before` was read; the
+    rest must be decided anew."""
+    key = lambda df, p: df.select("id", "rs_id", F.col("status").alias(f"__{p}s"), generation().alias(f"__{p}g"))
+    same = key(before, "b").join(key(now, "n"), ["id", "rs_id"]).where("__bs = __ns and __bg = __ng").select("id", "rs_id")
+    return changed.join(same, ["id", "rs_id"], "left_semi")
+
+
+def replace(buckets: DataFrame, new: DataFrame) -> DataFrame:
+    """new as the next bucket table; a table that had rows is never emptied at once."""
+    if buckets.limit(1).count() and not new.limit(1).count():
+        raise BucketError("BUCKET_INVALID_UPDATE", reason="truncation is prohibited")
+    return new
+
+
+def transfers(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a log (id, seq, op: start or end): the ids in transfer, and the rows that start one twice or end none."""
+    before = F.lag("op").over(Window.partitionBy("id").orderBy("seq"))
+    wrong = F.col("op").eqNullSafe(F.coalesce("before", F.lit("end")))
+    bad = log.withColumn("before", before).where(wrong).drop("before")
+    last = log.groupBy("id").agg(F.max_by("op", "seq").alias("op"))
+    return last.where("op = 'start'").select("id"), bad
+
+
 def service_status(log: DataFrame) -> DataFrame:
     """(service, iteration, status, error, status_idx) of a log (service, iteration, seq, status, error): the first error of
     an iteration stands, and statuses are counted."""

@@ -138,6 +138,17 @@ def not_collectable(ids: DataFrame, buckets: DataFrame, refs: DataFrame, moving:
     return rows.where(F.col("__m").isNotNull() | (F.col("status").isNotNull() & ~F.col("status").isin(S.GARBAGE, S.SENT)) | (F.coalesce("ro", F.lit(0)) > 0)).select("id")
 
 
+def sendable(ids: DataFrame, buckets: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, ok): whether a bucket can be sent now: it is readonly and nobody writes to it."""
+    rows = ids.select("id").distinct().join(buckets.select("id", "status"), "id", "left").join(refs.select("id", "rw"), "id", "left")
+    return rows.select("id", F.coalesce((F.col("status") == S.READONLY) & (F.coalesce("rw", F.lit(0)) == 0), F.lit(False)).alias("ok"))
+
+
+def has(data: DataFrame, column: str, key) -> bool:
+    """Whether any row has this key; it stops at the first."""
+    return data.where(F.col(column) == key).limit(1).count() > 0
+
+
 def all_writable(buckets: DataFrame) -> DataFrame:
     """(rs_id, all_rw): whether each bucket of a shard can be written."""
     return buckets.groupBy("rs_id").agg(F.bool_and(S.is_writable(F.col("status"))).alias("all_rw"))
@@ -147,7 +158,7 @@ def coverage(buckets: DataFrame, bucket_count: int) -> int:
     """Raises UNKNOWN_BUCKETS unless the shards' buckets add up to bucket_count."""
     known = buckets.agg(F.count(F.lit(1))).first()[0]
     if known != bucket_count:
-        raise BucketError("UNKNOWN_BUCKETS", count=bucket_count - known)
+        raise BucketError("UNKNOWN_BUCKETS", not_discovered_cnt=bucket_count - known)
     return known
 
 

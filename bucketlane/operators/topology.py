@@ -128,3 +128,27 @@ def export_changes(wanted: DataFrame, installed: DataFrame) -> DataFrame:
     both = wanted.select("func", F.col("body").alias("w")).join(installed.select("func", F.col("body").alias("i")), "func", "full")
     change = F.when(F.col("i").isNull(), "add").when(F.col("w").isNull(), "drop").when(F.col("w") != F.col("i"), "update")
     return both.select("func", change.alias("change")).where("change is not null")
+
+
+# Alerts that stand in the way of a recovery point.
+RECOVERY_ALERTS = ("MISSING_MASTER", "UNREACHABLE_MASTER", "UNREACHABLE_REPLICASET", "UNKNOWN_BUCKETS", "INVALID_CFG")
+
+
+def recovery_alerts(info: DataFrame) -> DataFrame:
+    """(rs_id, message) of the alerts that a recovery point waits for."""
+    rows = info.select("rs_id", F.explode("alerts").alias("a")).where(F.col("a.name").isin(*RECOVERY_ALERTS))
+    return rows.select("rs_id", F.concat_ws(": ", "a.name", "a.message").alias("message"))
+
+
+def rebind(new: DataFrame, old: DataFrame) -> DataFrame:
+    """New replicas (replica_id, uri, ...) with the health counters (fails, oks, timeout) of the old ones of equal id and
+    address; replicas that are gone are outdated and not returned."""
+    held = old.select("replica_id", "uri", "fails", "oks", "timeout")
+    out = new.join(held, ["replica_id", "uri"], "left")
+    return out.fillna(0, ["fails", "oks"]).fillna(0.5, ["timeout"])
+
+
+def load_report(log: DataFrame) -> DataFrame:
+    """One row: operations, errors, mean latency and operations a second of a log (started, ended, ok)."""
+    span = F.max("ended") - F.min("started")
+    return log.agg(F.count(F.lit(1)).alias("ops"), F.count_if(~F.col("ok")).alias("errors"), F.avg(F.col("ended") - F.col("started")).alias("mean_latency"), F.when(span > 0, F.count(F.lit(1)) / span).alias("ops_per_s"))

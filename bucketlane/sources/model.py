@@ -33,30 +33,66 @@ DISBALANCE_THRESHOLD = 1
 REPLICATION_SOFT, REPLICATION_HARD, REPLICATION_FAIL = 1, 5, 10
 GREEN, YELLOW, ORANGE, RED = range(4)
 
-# Error names with their numbers and what is told of them.
+# Error names with their numbers and messages.
 ERRORS = {
     "WRONG_BUCKET": (1, "Cannot perform action with bucket {bucket_id}, reason: {reason}"),
     "NON_MASTER": (2, "Replica {replica} is not a master for replicaset {replicaset} anymore"),
     "BUCKET_ALREADY_EXISTS": (3, "Bucket {bucket_id} already exists"),
+    "NO_SUCH_REPLICASET": (4, "Replicaset {replicaset} not found"),
     "MOVE_TO_SELF": (5, "Cannot move: bucket {bucket_id} is already on replicaset {replicaset}"),
     "MISSING_MASTER": (6, "Master is not configured for replicaset {replicaset}"),
     "TRANSFER_IS_IN_PROGRESS": (7, "Bucket {bucket_id} is transferring to replicaset {destination}"),
     "UNREACHABLE_REPLICASET": (8, "There is no active replicas in replicaset {replicaset}"),
     "NO_ROUTE_TO_BUCKET": (9, "Bucket {bucket_id} cannot be found. Is rebalancing in progress?"),
     "NON_EMPTY": (10, "Cluster is already bootstrapped"),
+    "UNREACHABLE_MASTER": (11, "Master of replicaset {replicaset} is unreachable: {reason}"),
+    "OUT_OF_SYNC": (12, "Replica is out of sync"),
+    "HIGH_REPLICATION_LAG": (13, "High replication lag: {lag}"),
+    "UNREACHABLE_REPLICA": (14, "Replica {replica} isn't active"),
+    "LOW_REDUNDANCY": (15, "Only one replica is active"),
+    "INVALID_REBALANCING": (16, "Sending and receiving buckets at same time is not allowed"),
+    "SUBOPTIMAL_REPLICA": (17, "A current read replica in replicaset {replicaset} is not optimal"),
+    "UNKNOWN_BUCKETS": (18, "{not_discovered_cnt} buckets are not discovered"),
+    "REPLICASET_IS_LOCKED": (19, "Replicaset is locked"),
+    "OBJECT_IS_OUTDATED": (20, "Object is outdated after module reload/reconfigure. Use new instance."),
+    "ROUTER_ALREADY_EXISTS": (21, "Router with name {router_name} already exists"),
+    "BUCKET_IS_LOCKED": (22, "Bucket {bucket_id} is locked"),
+    "INVALID_CFG": (23, "Invalid configuration: {reason}"),
+    "BUCKET_IS_PINNED": (24, "Bucket {bucket_id} is pinned"),
+    "TOO_MANY_RECEIVING": (25, "Too many receiving buckets at once, please, throttle"),
+    "STORAGE_IS_REFERENCED": (26, "Storage is referenced"),
+    "STORAGE_REF_ADD": (27, "Can not add a storage ref: {reason}"),
+    "STORAGE_REF_USE": (28, "Can not use a storage ref: {reason}"),
+    "STORAGE_REF_DEL": (29, "Can not delete a storage ref: {reason}"),
+    "BUCKET_RECV_DATA_ERROR": (30, "Can not receive the bucket {bucket_id} data in space \"{space}\" at tuple {tuple}: {reason}"),
+    "REPLICASET_IN_BACKOFF": (32, "Replicaset {replicaset} is in backoff, can't take requests right now. Last error was {error}"),
+    "STORAGE_IS_DISABLED": (33, "Storage is disabled: {reason}"),
+    "BUCKET_IS_CORRUPTED": (34, "Bucket {bucket_id} is corrupted: {reason}"),
+    "ROUTER_IS_DISABLED": (35, "Router is disabled: {reason}"),
+    "BUCKET_GC_ERROR": (36, "Error during bucket GC: {reason}"),
+    "STORAGE_CFG_IS_IN_PROGRESS": (37, "Configuration of the storage is in progress"),
+    "ROUTER_CFG_IS_IN_PROGRESS": (38, "Configuration of the router with name {router_name} is in progress"),
+    "BUCKET_INVALID_UPDATE": (39, "Bucket {bucket_id} update is invalid: {reason}"),
+    "VHANDSHAKE_NOT_COMPLETE": (40, "Handshake with {replica} have not been completed yet"),
+    "INSTANCE_NAME_MISMATCH": (41, "Mismatch server name: expected \"{expected_name}\", but got \"{actual_name}\""),
+    "MASTER_NOT_SYNCED": (42, "Master {replica} of replicaset {replicaset} has not synchronized yet"),
 }
 
 
+class _Blank(dict):
+    """Arguments of a message; those that are missing are empty."""
+
+    def __missing__(self, key: str) -> str:
+        return ""
+
+
 class BucketError(Exception):
     """An error with a name, a number and its arguments; `to_json` and `from_json` keep all of them."""
 
     def __init__(self, name: str, **args):
         self.name, self.args_ = name, args
         self.code, text = ERRORS.get(name, (0, name.replace("_", " ").capitalize()))
-        try:
-            self.message = text.format(**args)
-        except KeyError:
-            self.message = text
+        self.message = text.format_map(_Blank(args))
         super().__init__(self.message)
 
     def to_json(self) -> str:

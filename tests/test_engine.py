@@ -14,6 +14,7 @@ def engine(spark):
     shards = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "rs_id string, weight double")
     e = Engine(spark, Config(bucket_count=30), placement.bootstrap(shards, 30), shards)
     t = spark.range(100).select("id", hashing.bucket_id_strcrc32("id", bucket_count=30).alias("bucket_id"))
+    Engine.instances.pop("static")
     assert e.register("t", t) and not e.register("plain", spark.range(3)) and e.sharded_tables() == ["t"]
     return e
 
@@ -103,3 +104,64 @@ def test_folds():
     ask = lambda t, d=None: step(s, {"bucket_id": 1, "event_id": t, "now": t, "dst": d})
     ask(10, "x")
     assert ask(100)[0]["dst"] == "x" and ask(121)[0]["dst"] is None
+
+
+def test_changes(engine, spark):
+    engine.pin(1)
+    with pytest.raises(BucketError) as e:
+        engine.send(1, "b")
+    assert e.value.name == "BUCKET_IS_PINNED"
+    engine.pin(1, False)
+    engine.send(1, "b")
+    assert engine.route(1) == "b" and engine.version == 3
+    with pytest.raises(BucketError):
+        engine.send(1, "b")
+    with pytest.raises(BucketError):
+        engine.send(1, "zzz")
+    with pytest.raises(BucketError):
+        engine._set(engine.buckets.limit(0))
+    engine._set(engine.buckets.withColumn("status", F.when(F.col("id") == 2, "readonly").otherwise(F.col("status"))))
+    assert [(r.id, r.new_status) for r in engine.recover().collect()] == [(2, "active")]
+    assert engine.service("buckets_count") == 31 and engine.service("sharded_tables") == ["t"]
+    engine.rebalancer_enabled = False
+    with pytest.raises(BucketError):
+        engine.rebalance(engine.replicasets)
+
+
+def test_master_triggers(engine, spark):
+    schema = "replica_id string, rs_id string, is_master boolean"
+    heard = []
+    engine.on_master("enable", lambda n: heard.append(("on", n)))
+    engine.on_master("disable", lambda n: heard.append(("off", n)))
+    engine.reconfigure(engine.config, replicas=spark.createDataFrame([("x", "a", True), ("y", "a", False)], schema))
+    engine.reconfigure(engine.config, replicas=spark.createDataFrame([("x", "a", False), ("y", "a", True)], schema))
+    assert heard == [("on", "x"), ("off", "x"), ("on", "y")]
+
+
+def test_guards_and_reports(spark):
+    from bucketlane.functions import status
+    from bucketlane.operators import lifecycle, topology
+
+    schema = "id long, status string, destination string, opts map<string,bigint>, rs_id string"
+    old = spark.createDataFrame([(1, "active", None, {"generation": 1}, "a"), (2, "active", None, {"generation": 1}, "a")], schema)
+    now = old.withColumn("status", F.when(F.col("id") == 2, "readonly").otherwise(F.col("status")))
+    assert [r.id for r in lifecycle.guarded(old, now, old).collect()] == [1]
+    refs = spark.createDataFrame([(1, 0), (2, 0)], "id long, rw long")
+    assert {r.id: r.ok for r in placement.sendable(old.select("id"), now, refs).collect()} == {1: False, 2: True}
+    log = spark.createDataFrame([(1, 1, "start"), (1, 2, "start"), (2, 1, "start"), (2, 2, "end"), (3, 1, "end")], "id long, seq long, op string")
+    moving, bad = lifecycle.transfers(log)
+    assert [r.id for r in moving.collect()] == [1] and sorted((r.id, r.seq) for r in bad.collect()) == [(1, 2), (3, 1)]
+    e = spark.createDataFrame([("WRONG_BUCKET", "own.f", False), ("ACCESS_DENIED", "own.f", False), ("ACCESS_DENIED", "user", True)], "name string, f string, t boolean")
+    got = e.select(status.can_retry(F.col("name"), F.col("t")).alias("r"), status.can_backoff(F.col("name"), F.col("f"), "own.").alias("b")).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, True), (True, False)]
+    reps = spark.createDataFrame([("x", "a", True), ("y", "a", False)], "replica_id string, rs_id string, is_master boolean")
+    info = topology.storage_info(now, reps, spark.createDataFrame([("x", 0.0, True), ("y", 12.0, True)], "replica_id string, lag double, connected boolean"))
+    row = info.first()
+    assert row.colour == 3 and [a.name for a in row.alerts] == ["OUT_OF_SYNC"] and topology.recovery_alerts(info).count() == 0
+    alone = topology.storage_info(now, reps.where("false"))
+    assert [r.message.split(":")[0] for r in topology.recovery_alerts(alone).collect()] == ["MISSING_MASTER"]
+    calls = spark.createDataFrame([(0.0, 1.0, True), (1.0, 4.0, False)], "started double, ended double, ok boolean")
+    assert tuple(topology.load_report(calls).first()) == (2, 1, 2.0, 0.5)
+    new = spark.createDataFrame([("x", "u"), ("y", "v")], "replica_id string, uri string")
+    held = spark.createDataFrame([("x", "u", 3, 1, 4.0), ("y", "old", 9, 9, 9.0)], "replica_id string, uri string, fails long, oks long, timeout double")
+    assert {r.replica_id: (r.fails, r.timeout) for r in topology.rebind(new, held).collect()} == {"x": (3, 4.0), "y": (0, 0.5)}
