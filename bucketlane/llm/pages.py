@@ -4,7 +4,7 @@ Pass 1 reads each page as tokens: tags with their element path, and whole text n
 vector over the pages of a host is kept as a sum of 32-bit page marks (times its count), so equal vectors have equal sums
 and sums combine before any shuffle. Tokens with equal sums on a host are one equivalence class. Classes with the support
 of most pages are its template; by their mean places they are put in order, and a class whose tokens lie between two
-neighbours of the class of all pages is nested there.
+neighbours of the class of all pages is valid and nested there (`nest`).
 
 Pass 2 cuts each page at the template tokens it holds in template order; what is left between them are slots. Text
 nodes that belong to the template aren't content. A slot counts as content by the elements it stands in: never within
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import pyarrow as pa
@@ -147,6 +148,16 @@ def templates(pages: DataFrame, html: str = "html", support: float = SUPPORT) ->
     return often.select("host", "token", klass.alias("klass"), (F.col("place") / F.col("pages")).alias("place"))
 
 
+def nest(template: dict[int, tuple[int, float]]) -> dict[int, tuple[int, float]]:
+    """The tokens of valid classes. The class of all pages (0) makes the outer slots; another class is valid if its tokens
+    lie in one of them, and is nested there."""
+    outer = sorted(place for klass, place in template.values() if klass == 0)
+    slots: dict[int, set[int]] = defaultdict(set)
+    for klass, place in template.values():
+        slots[klass].add(bisect_left(outer, place) if klass else 0)
+    return {t: v for t, v in template.items() if len(slots[v[0]]) == 1}
+
+
 def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
     """Text of the content slots of a page. template: by token, its class (0: on all pages, once) and its mean place."""
     by: dict[str, int] = defaultdict(int)
@@ -193,6 +204,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     if small:
         for r in made.collect():  # at most `most` rows
             by.setdefault(r.host, {})[r.token] = (r.klass, r.place)
+        by = {host: nest(t) for host, t in by.items()}
         with_template = rows.withColumn("template", F.lit(None).cast("array<struct<token: bigint, klass: bigint, place: double>>"))
     else:
         lists = made.groupBy("host").agg(F.collect_list(F.struct("token", "klass", "place")).alias("template"))
@@ -203,7 +215,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         for b in batches:
             texts = []
             for host, page, template in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                t = {x["token"]: (x["klass"], x["place"]) for x in template} if template else shared.value.get(host, {})
+                t = nest({x["token"]: (x["klass"], x["place"]) for x in template}) if template else shared.value.get(host, {})
                 texts.append(extract(page, t))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

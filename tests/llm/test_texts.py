@@ -203,6 +203,12 @@ def test_equal_vectors_share_a_class(spark):
     assert len(by) == 2 and len(by[0]) == 7 and all(len(v) == 1 for k, v in by.items() if k)
 
 
+def test_nesting():
+    outer = {i: (0, i * 100.0) for i in range(1, 6)}
+    inside, across = {10: (7, 210.0), 11: (7, 250.0)}, {20: (8, 150.0), 21: (8, 350.0)}
+    assert pages.nest({**outer, **inside, **across}) == {**outer, **inside} and pages.nest({}) == {}
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("<p>a < b</p><!-- x", "a < b"), ("<article><p>One <b>two</b>three<p>Four</article>", "One twothree Four"),
     ("<main><form>no</form><p>yes&nbsp;&eacute;</p><aside>no</aside><section class='comments'>no</section></main><footer>no</footer>", "yes é"),
