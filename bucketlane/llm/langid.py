@@ -6,7 +6,8 @@ code-switched text get their own labels. Posteriors come from forward-backward:
 words, each block's transfer matrix is made in lockstep with all others, and block borders are then passed on, which
 gives the same as one long pass.
 
-Training takes at most PER_LANG texts of each language and EXCERPT words of each (a bounded sample by text hash); they
+Training takes at most PER_LANG texts of each language (fewer where MOST_TEXTS would be exceeded) and EXCERPT words of
+each, a bounded sample by text hash; they
 are cut into spans that are chained across languages, so transitions see switches. Everything else reads whole texts.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; without labelled texts all is `und`; ties go to
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from bucketlane.llm import bytewords
 from bucketlane.llm.runtime import ship
 
-PER_LANG, EXCERPT, MOST_LANGS = 300, 150, 500
+PER_LANG, EXCERPT, MOST_LANGS, MOST_TEXTS = 300, 150, 128, 10_000
 BITS, BLOCK, CHUNK = 16, 64, 1 << 18
 _U = np.uint64
 _TABLES: list[np.ndarray] = []
@@ -288,6 +289,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return fit([], [])
+    per_lang = max(1, min(per_lang, MOST_TEXTS // len(sizes)))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * per_lang / max(n, 1)))))
     some = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     # at most about 2 * per_lang distinct texts of each language, a bounded excerpt of each
@@ -325,7 +327,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return df.select(key, text).mapInArrow(run, f"doc_id {df.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
     """The rows whose text has a language of at least this score, all columns as they are."""
     ship(df.sparkSession)
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)

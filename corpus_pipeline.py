@@ -21,7 +21,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a language of mean posterior 0.5 and more."""
+    """Drops documents without letters or without a language of mean posterior 0.35 and more (two languages may share one)."""
     return langid.keep_identified(docs, entries.language_model(docs))
 
 
