@@ -28,7 +28,7 @@ from bucketlane.llm import bytewords
 from bucketlane.llm.runtime import ship
 
 PER_LANG, EXCERPT, MOST_LANGS, MOST_TEXTS = 300, 150, 128, 10_000
-BITS, BLOCK, CHUNK = 16, 64, 1 << 18
+BITS, BLOCK, CHUNK = 16, 64, 1 << 17
 _U = np.uint64
 _TABLES: list[np.ndarray] = []
 

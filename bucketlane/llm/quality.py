@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bucketlane.llm import bytewords
 from bucketlane.llm.runtime import ship, spans, strings
 
-LABELLED, POOL, ROUNDS, SLOTS, CHUNK = 8000, 4000, 4, 64, 1 << 20
+LABELLED, POOL, ROUNDS, SLOTS, CHUNK = 8000, 4000, 4, 64, 1 << 19
 SHARE = 1 << 30
 
 
