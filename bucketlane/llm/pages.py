@@ -9,7 +9,7 @@ neighbours of the class of all pages is valid and nested there (`nest`).
 Pass 2 cuts each page at the template tokens it holds in template order; what is left between them are slots. Text
 nodes that belong to the template aren't content. A slot counts as content by the elements it stands in: never within
 navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments; within an article or main
-element if the page has one, else within the element that holds most slot text. Text nodes of an article are slots even
+element if the page has one, else within the deepest element that holds nearly all slot text. Text nodes of an article are slots even
 where most pages share them, as copies of an article don't make it a template.
 
 Text: character references decoded, white space in a block made one blank, blocks joined by one blank in page order.
@@ -49,7 +49,7 @@ _BLOCK = frozenset("address article aside blockquote body br button caption cent
 _CLOSES_P = _BLOCK - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "body", "html", "head", "title"}
 _OTHER = frozenset("nav header footer aside form script style head title noscript template button select textarea iframe svg math object dialog menu input label".split())
 _OTHER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|comments?|discussion|replies|respond|disqus|"
+    r"(?:^|[\s_-])(?:ads?|ad-?(?:box|slot|unit|block|wrap|wrapper|container)|adverts?|advertisement|advertising|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|comment(?:s|list|box|area|section|thread|form)?|discussion|replies|respond|disqus|"
     r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|header|masthead|popup|modal|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?body|post-?content|entry-?content|main-?content|article-?content|story-?body)(?:$|[\s_-])", re.I)
 
@@ -158,6 +158,21 @@ def nest(template: dict[int, tuple[int, float]]) -> dict[int, tuple[int, float]]
     return {t: v for t, v in template.items() if len(slots[v[0]]) == 1}
 
 
+def _holder(sizes: dict[str, int], share: float = 0.8) -> str:
+    """The deepest element path below which at least `share` of the text of each path above it lies."""
+    at, total = "", sum(sizes.values())
+    while total:
+        below: dict[str, int] = defaultdict(int)
+        for path, n in sizes.items():
+            if path.startswith(f"{at}/"):
+                below[f"{at}/{path[len(at) + 1 :].partition('/')[0]}"] += n
+        child = max(below, key=lambda c: (below[c], c), default=None)
+        if child is None or below[child] < share * total:
+            break
+        at, total = child, below[child]
+    return at
+
+
 def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
     """Text of the content slots of a page. template: by token, its class (0: on all pages, once) and its mean place."""
     by: dict[str, int] = defaultdict(int)
@@ -180,7 +195,7 @@ def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
                 container = container.rpartition("/")[0]
             parts.append((number, container, main, text))
             by[container] += len(text.strip())
-    best = max(by, key=lambda c: (by[c], -len(c)), default="") if not any_main else ""
+    best = "" if any_main else _holder(by)
     out, now = [], []
     for _, container, main, text in parts:
         if not text:

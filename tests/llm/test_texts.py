@@ -213,6 +213,7 @@ def test_nesting():
     (None, ""), ("", ""), ("<p>a < b</p><!-- x", "a < b"), ("<article><p>One <b>two</b>three<p>Four</article>", "One twothree Four"),
     ("<main><form>no</form><p>yes&nbsp;&eacute;</p><aside>no</aside><section class='comments'>no</section></main><footer>no</footer>", "yes é"),
     ("<article>a<script>if(1<2){'</p>'}</script>b</article>", "ab"), ("<div class='cookie-notice'>no</div><div><p>text</p></div>", "text"),
+    ("<div class=page><div>Menu</div><div class=body><div class=intro>First part of it.</div><div class=rest>Second part, which goes on for longer.</div></div></div>", "First part of it. Second part, which goes on for longer."),
     ("<div>x</div></div></p><p>unclosed <i>text", "x unclosed text"),
 ])
 def test_extract(html, want):
