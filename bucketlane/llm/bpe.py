@@ -4,8 +4,8 @@ A sequence of tokens is the BPE encoding of its bytes exactly if each token enco
 encode to themselves together ("fit"). So the encoder is a non-deterministic transducer whose states are a token just
 emitted plus a trie node of the next one. It is made deterministic lazily, as bytes come: a deterministic state is the set
 of live (pending tokens, trie node) pairs, and whatever all of them agree on is emitted at once. How far the output
-lags is bounded by the vocabulary's overlaps, not by the text. A transition is built when it is needed a second time;
-until then the rest of that piece runs on the non-deterministic machine, as most rare words never come back.
+lags is bounded by the vocabulary's overlaps, not by the text. A transition is built when it has been needed NEED times;
+until then such pieces run on the non-deterministic machine, as most rare words never come back.
 
 Edge cases: null and empty texts have no tokens; any text, however long, takes one pass; bytes that don't form UTF-8
 can be decoded (each bad byte run gives U+FFFD, as Python's "replace" does).
@@ -14,6 +14,7 @@ can be decoded (each bad byte run gives U+FFFD, as Python's "replace" does).
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from array import array
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame
 
 from bucketlane.llm.runtime import ship
 
-MOST_PIECES, MOST_STATES = 600_000, 100_000
+MOST_PIECES, MOST_STATES = 300_000, 50_000
+#: How often a transition must be needed before it is built.
+NEED = 12
 #: A single blank between two other characters always separates two matches of the pattern.
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 #: What tells that not every blank of a text is such a one.
@@ -51,20 +54,29 @@ class Transducer:
         self._reset()
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def _grow_trie(self) -> None:
-        """A node is a dict of its children by byte, and its token at -1."""
+        """A node is a dict of its children by byte, its token at -1, and at -2 all tokens on the way to it."""
         self._root: dict = {}
         for b, i in self.ranks.items():
             at = self._root
             for x in b:
                 at = at.setdefault(x, {})
             at[-1] = i
+        todo = [(self._root, ())]
+        while todo:
+            node, ways = todo.pop()
+            if -1 in node:
+                ways = (*ways, node[-1])
+            todo += [(child, ways) for x, child in node.items() if x >= 0]
+            node[-2] = ways
+        self._length = {i: len(b) for b, i in self.ranks.items()}
+        self._longest = max(self._length.values())
 
     def _reset(self) -> None:
         #: State 0 is the start. A state: (last token emitted, ((pending tokens, trie node), ...)); by its key, its number.
-        self._states, self._ids, self._next, self._missed = [(-1, (((), self._root),))], {}, {}, set()
+        self._states, self._ids, self._next, self._missed = [(-1, (((), self._root),))], {}, {}, {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of this one joins; None for a byte."""
@@ -113,7 +125,7 @@ class Transducer:
                 previous = pending[-1] if pending else last
                 if previous < 0 or self.fit(previous, token):
                     border = (*pending, token)
-            if len(child) > (token >= 0):
+            if len(child) > 1 + (token >= 0):
                 grown.append((pending, child))
         grown.append((border, self._root))
         agreed = 0
@@ -137,28 +149,40 @@ class Transducer:
         yield from next(p for p, n in self._states[state][1] if n is self._root)
 
     def _simulate(self, data: bytes) -> list[int]:
-        """The same on the non-deterministic machine: the last token before each border, then back from the end."""
-        fits, n = self._fits.get, len(data)
-        before = [-1] * (n + 1)
-        node = self._root
-        for j, x in enumerate(data):
-            if (node := node.get(x)) is None:
-                break
-            before[j + 1] = node.get(-1, -1)
-        for i in range(1, n):
-            left, node = before[i] << 32, self._root
-            for j in range(i, n):
-                if (node := node.get(data[j])) is None:
+        """The same on the non-deterministic machine, depth first and longest token first. A border is reached by one
+        path alone, so a border from which all ways end is left out for good."""
+        fits, length, root, n, longest = self._fits.get, self._length, self._root, len(data), self._longest
+        out, open_, dead = [], [], set()
+        at, last = 0, -1
+        while at < n:
+            node = root
+            for x in data[at : at + longest]:
+                if (deeper := node.get(x)) is None:
+                    break
+                node = deeper
+            ways = node[-2]
+            left = len(ways)
+            while True:
+                while left:
+                    left -= 1
+                    t = ways[left]
+                    end = at + length[t]
+                    if end in dead:
+                        continue
+                    if last >= 0 and not (self.fit(last, t) if (f := fits(last << 32 | t)) is None else f):
+                        continue
+                    out.append(t)
+                    open_.append((ways, left))
+                    at, last = end, t
                     break
-                if before[j + 1] < 0 and (t := node.get(-1, -1)) >= 0:
-                    f = fits(left | t)
-                    if self.fit(left >> 32, t) if f is None else f:
-                        before[j + 1] = t
-        out, at = [], n
-        while at:
-            out.append(before[at])
-            at -= len(self.bytes_of[before[at]])
-        return out[::-1]
+                else:
+                    dead.add(at)
+                    at -= length[out.pop()]
+                    last = out[-1] if out else -1
+                    ways, left = open_.pop()
+                    continue
+                break
+        return out
 
     def tokens(self, data: bytes) -> list[int]:
         """Tokens of one piece: by known transitions, or else by `_simulate`."""
@@ -166,36 +190,37 @@ class Transducer:
         for byte in data:
             to = known(state * 256 + byte)
             if to is None:
-                if (key := state * 256 + byte) not in self._missed:
-                    self._missed.add(key)
-                    if len(self._missed) > 4 * MOST_STATES:
-                        self._missed.clear()
+                key = state * 256 + byte
+                needed = self._missed.get(key, 0) + 1
+                if needed < NEED:
+                    self._missed[key] = needed
                     return self._simulate(data)
                 to = self._step(state, byte)
             state, new = to
             if new:
                 out += new
         out += next(p for p, n in self._states[state][1] if n is self._root)
-        if len(self._states) > MOST_STATES:
+        if len(self._states) > MOST_STATES or len(self._missed) > 4 * MOST_STATES:
             self._reset()
         return out
 
     def _run(self, text: str, known: dict[str, bytes], lead: str) -> bytes:
         """Ids of a run of pieces, which is remembered."""
-        out = array("I")
+        out, pieces = [], self._pieces
         for piece in self.find(lead + text):
-            if (got := self._pieces.get(piece)) is None:
-                got = self.tokens(piece.encode())
+            if (got := pieces.get(piece)) is None:
+                got = array("I", self.tokens(piece.encode())).tobytes()
                 if len(piece) < 48:
-                    self._pieces[piece] = got
-            out.extend(got)
-        if len(self._pieces) > MOST_PIECES // 4:
-            self._pieces.clear()
+                    pieces[piece] = got
+            out.append(got)
+        if len(pieces) > MOST_PIECES // 4:
+            pieces.clear()
         if len(known) > MOST_PIECES:
             known.clear()
+        packed = b"".join(out)
         if len(text) < 48:
-            known[text] = out.tobytes()
-        return out.tobytes()
+            known[text] = packed
+        return packed
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids as native unsigned 32-bit integers."""
@@ -291,6 +316,7 @@ def transducer(path: str, pattern: str) -> Transducer:
     """One for each worker process."""
     if (path, pattern) not in _CACHED:
         _CACHED[path, pattern] = Transducer(load_ranks(path), pattern)
+        gc.freeze()  # the trie stays; no collection need walk it
     return _CACHED[path, pattern]
 
 
