@@ -1,6 +1,7 @@
 """Main text of HTML pages by deduction of their hosts' templates.
 
-Pass 1 reads each page as tokens: tags with their element path, and whole text nodes with theirs. A token's occurrence
+Pass 1 reads each page as tokens: tags with their element path, and whole text nodes with theirs. Copies on a host, pages
+whose content text is equal, count once; fewer than FEWEST different pages make no template. A token's occurrence
 vector over the pages of a host is kept as a sum of 32-bit page marks (times its count), so equal vectors have equal sums
 and sums combine before any shuffle. Tokens with equal sums on a host are one equivalence class. Classes with the support
 of most pages are its template; by their mean places they are put in order, and a class whose tokens lie between two
@@ -115,33 +116,41 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def templates(pages: DataFrame, html: str = "html", support: float = SUPPORT) -> DataFrame:
-    """(host, token, klass, place) of template tokens; token 0 is the page itself. `host` is a column of pages. The number
-    of tokens of a host is at most that of an average page divided by `support`."""
+    """(host, token, klass, place) of template tokens. `host` is a column of pages. Pages of a host whose content text is
+    equal count once (as the one of least hash). The number of tokens of a host is at most that of an average page divided
+    by `support`."""
     ship(pages.sparkSession)
 
     def run(batches):
         for b in batches:
-            sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+            said_, page_, ends = [], [], [0]
+            flat: tuple[list[int], ...] = ([], [], [])  # token, vector, place
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 mark = xxhash.xxh32_intdigest(page or "", 11) | 1
                 count: dict[int, list[int]] = {}
-                n = 0
-                for kind, path, text, _, _ in tokens(page):
+                n, said = 0, xxhash.xxh64(seed=11)
+                for kind, path, text, other, _ in tokens(page):
                     if kind == "|" or kind == "t" and not text.strip():
                         continue
+                    if kind == "t" and not other:
+                        said.update(f"{' '.join(text.split())}\x1f")
                     n += 1
                     c = count.setdefault(_key(kind, path, text), [0, n])
                     c[0] += 1
                 for key, (times, place) in [*count.items(), (0, (1, 0))]:
-                    s = sums[host, key]
-                    s[0] += (mark * times * (2 * times + 1)) & 0xFFFFFFFF if times > 1 else mark
-                    s[1] += 1
-                    s[2] += place * 1000 // (n + 1)
-            cols = [[k[0] for k in sums], [k[1] for k in sums], *([v[i] for v in sums.values()] for i in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4))], ["host", "token", "vector", "pages", "place"])
-
-    rows = pages.select("host", html).mapInArrow(run, "host string, token long, vector long, pages long, place long")
-    summed = checkpoint(rows.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("vector", "pages", "place"))).where("pages > 1 or token = 0"))
+                    flat[0].append(key)
+                    flat[1].append((mark * times * (2 * times + 1)) & 0xFFFFFFFF if times > 1 else mark)
+                    flat[2].append(place * 1000 // (n + 1))
+                ends.append(len(flat[0]))
+                said_.append(said.intdigest() - (1 << 63))
+                page_.append(xxhash.xxh64_intdigest(page or "") - (1 << 63))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], ["token", "vector", "place"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said_, pa.int64()), pa.array(page_, pa.int64()), lists], ["host", "said", "page", "tokens"])
+
+    rows = pages.select("host", html).mapInArrow(run, "host string, said long, page long, tokens array<struct<token: bigint, vector: bigint, place: bigint>>")
+    once = rows.groupBy("host", "said").agg(F.min_by("tokens", "page").alias("tokens")).select("host", F.inline("tokens"))
+    sums = once.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("place").alias("place"))
+    summed = checkpoint(sums.where("pages > 1 or token = 0"))
     whole = summed.where("token = 0").select("host", F.col("pages").alias("of"), F.col("vector").alias("all"))
     often = summed.where("token != 0").join(whole, "host").where((F.col("of") >= FEWEST) & (F.col("pages") >= F.ceil(F.col("of") * support)))
     klass = F.when(F.col("vector") == F.col("all"), F.lit(0)).otherwise(F.col("vector"))

@@ -194,6 +194,15 @@ def test_template_without_elements_for_main_text(spark):
             assert r.text == f"Own text {r.page_id} of <page> {r.page_id} More words {r.page_id} and lines {r.page_id}"
 
 
+def test_copies_make_no_template(spark):
+    """Copies count once, also where they differ in what is never content: neither alone nor beside other pages do they drop text."""
+    copy = "<body><nav>menu {}</nav><div>Words of a page</div><div>that was copied</div></body>"
+    rows = [(copy.format(i % 3), "https://a.example/") for i in range(6)] + [(copy.format(0), "https://b.example/")] * 9 + [(f"<body><div>Other {i}</div></body>", "https://b.example/") for i in range(4)]
+    df = spark.createDataFrame([(i, u, h) for i, (h, u) in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in pages.main_text(df).orderBy("page_id").collect()]
+    assert got == ["Words of a page that was copied"] * 15 + [f"Other {i}" for i in range(4)]
+
+
 def test_equal_vectors_share_a_class(spark):
     df = spark.createDataFrame([(f"<body><div>same</div><p>p{i}</p>{'<hr>' if i % 4 else ''}</body>", "h") for i in range(8)], "html string, host string")
     got = pages.templates(df).collect()
