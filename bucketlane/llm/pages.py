@@ -8,10 +8,10 @@ of most pages are its template; by their mean places they are put in order, and
 neighbours of the class of all pages is valid and nested there (`nest`).
 
 Pass 2 cuts each page at the template tokens it holds in template order; what is left between them are slots. Text
-nodes that belong to the template aren't content. A slot counts as content by the elements it stands in: never within
-navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments; within an article or main
-element if the page has one, else within the deepest element that holds nearly all slot text. Text nodes of an article are slots even
-where most pages share them, as copies of an article don't make it a template.
+nodes that belong to the template aren't content, in articles neither, unless they are half of the article's text and
+more: that is a near copy of another page, which stays whole. A slot counts as content by the elements it stands in:
+never within navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments; within an
+article or main element if the page has one, else within the deepest element that holds nearly all slot text.
 
 Text: character references decoded, white space in a block made one blank, blocks joined by one blank in page order.
 
@@ -185,32 +185,37 @@ def _holder(sizes: dict[str, int], share: float = 0.8) -> str:
 def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
     """Text of the content slots of a page. template: by token, its class (0: on all pages, once) and its mean place."""
     by: dict[str, int] = defaultdict(int)
-    reached, number, any_main = -1.0, 0, False
-    parts: list[tuple[int, str, int, str]] = []  # slot, container, main, text; an empty text is a break
+    reached, any_main = -1.0, False
+    size = {False: 0, True: 0}  # characters in main elements, by whether they are of the template
+    parts: list[tuple[str, int, str, bool]] = []  # container, main, text, of the template; an empty text is a break
     for kind, path, text, other, main in tokens(page):
         if kind == "|":
-            parts.append((number, "", 0, ""))
+            parts.append(("", 0, "", False))
             continue
         known = template.get(_key(kind, path, text)) if template and (kind != "t" or text.strip()) else None
-        if known is not None and known[1] >= reached:
-            reached, number = known[1], number + 1  # a new slot
-            if kind == "t" and not main:
-                continue
-        if kind == "t" and not other:
-            any_main |= bool(main) and bool(text.strip())
-            container = path
-            # inline elements and paragraphs belong to what holds them
-            while container and (step := container.rpartition("/")[2].partition(".")[0]) and (step not in _BLOCK or step in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "dl", "table", "tbody", "tr", "td", "figure", "figcaption")):
-                container = container.rpartition("/")[0]
-            parts.append((number, container, main, text))
+        shared = known is not None and known[1] >= reached
+        if shared:
+            reached = known[1]  # a new slot
+        if kind != "t" or other or shared and not main:
+            continue
+        any_main |= bool(main) and bool(text.strip())
+        if main:
+            size[shared] += len(text.strip())
+        container = path
+        # inline elements and paragraphs belong to what holds them
+        while container and (step := container.rpartition("/")[2].partition(".")[0]) and (step not in _BLOCK or step in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "dl", "table", "tbody", "tr", "td", "figure", "figcaption")):
+            container = container.rpartition("/")[0]
+        parts.append((container, main, text, shared))
+        if not shared:
             by[container] += len(text.strip())
     best = "" if any_main else _holder(by)
+    copied = size[True] >= size[False]
     out, now = [], []
-    for _, container, main, text in parts:
+    for container, main, text, shared in parts:
         if not text:
             out.append("".join(now))
             now = []
-        elif main if any_main else (container == best or container.startswith(best + "/")):
+        elif main and (copied or not shared) if any_main else (container == best or container.startswith(best + "/")):
             now.append(_html.unescape(text))
     out.append("".join(now))
     return " ".join(x for x in (" ".join(p.split()) for p in out) if x)

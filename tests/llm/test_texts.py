@@ -203,6 +203,17 @@ def test_copies_make_no_template(spark):
     assert got == ["Words of a page that was copied"] * 15 + [f"Other {i}" for i in range(4)]
 
 
+def test_template_text_within_articles(spark):
+    """What all pages of a host say within their articles is template there, too; an article that is mostly shared is a copy."""
+    page = "<body><article><h1>Title {0}</h1><div>Rate this story</div><p>The own text of story {0}.</p><p>{1}</p></article></body>"
+    rows = [page.format(i, f"It has its own end, too: {i}.") for i in range(6)] + [page.format(i, f"It has its own end, too: {i}.") for i in range(6)]
+    near = "<body><main><h1>Title</h1><p>A long story that many pages have.</p><p>Near copy {0}</p></main></body>"
+    df = spark.createDataFrame([(i, "https://h.example/", r) for i, r in enumerate(rows)] + [(100 + i, "https://n.example/", near.format(i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert [got[i] for i in range(12)] == [f"Title {i} The own text of story {i}. It has its own end, too: {i}." for i in range(6)] * 2
+    assert [got[100 + i] for i in range(6)] == [f"Title A long story that many pages have. Near copy {i}" for i in range(6)]
+
+
 def test_equal_vectors_share_a_class(spark):
     df = spark.createDataFrame([(f"<body><div>same</div><p>p{i}</p>{'<hr>' if i % 4 else ''}</body>", "h") for i in range(8)], "html string, host string")
     got = pages.templates(df).collect()
