@@ -11,7 +11,7 @@ Pass 2 cuts each page at the template tokens it holds in template order; what is
 nodes that belong to the template aren't content, in articles neither, unless they are half of the article's text and
 more: that is a near copy of another page, which stays whole. A slot counts as content by the elements it stands in:
 never within navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments; within an
-article or main element if the page has one, else within the deepest element that holds nearly all slot text.
+article or main element if the page has one, else anywhere, but for the label of a menu's switch in a bare div.
 
 Text: character references decoded, white space in a block made one blank, blocks joined by one blank in page order.
 
@@ -54,6 +54,9 @@ _OTHER_NAME = re.compile(
     r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|header|masthead|popup|modal|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?body|post-?content|entry-?content|main-?content|article-?content|story-?body)(?:$|[\s_-])", re.I)
 
+#: What the switch of a menu says, as a whole block of bare div and span elements.
+_LABEL = re.compile(r"(?:(?:main|toggle|open|close|site) )?(?:menu|navigation)", re.I)
+
 
 def _name(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """(path step, never content, main element)."""
@@ -167,27 +170,11 @@ def nest(template: dict[int, tuple[int, float]]) -> dict[int, tuple[int, float]]
     return {t: v for t, v in template.items() if len(slots[v[0]]) == 1}
 
 
-def _holder(sizes: dict[str, int], share: float = 0.8) -> str:
-    """The deepest element path below which at least `share` of the text of each path above it lies."""
-    at, total = "", sum(sizes.values())
-    while total:
-        below: dict[str, int] = defaultdict(int)
-        for path, n in sizes.items():
-            if path.startswith(f"{at}/"):
-                below[f"{at}/{path[len(at) + 1 :].partition('/')[0]}"] += n
-        child = max(below, key=lambda c: (below[c], c), default=None)
-        if child is None or below[child] < share * total:
-            break
-        at, total = child, below[child]
-    return at
-
-
 def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
     """Text of the content slots of a page. template: by token, its class (0: on all pages, once) and its mean place."""
-    by: dict[str, int] = defaultdict(int)
     reached, any_main = -1.0, False
     size = {False: 0, True: 0}  # characters in main elements, by whether they are of the template
-    parts: list[tuple[str, int, str, bool]] = []  # container, main, text, of the template; an empty text is a break
+    parts: list[tuple[str, int, str, bool]] = []  # path, main, text, of the template; an empty text is a break
     for kind, path, text, other, main in tokens(page):
         if kind == "|":
             parts.append(("", 0, "", False))
@@ -201,24 +188,24 @@ def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
         any_main |= bool(main) and bool(text.strip())
         if main:
             size[shared] += len(text.strip())
-        container = path
-        # inline elements and paragraphs belong to what holds them
-        while container and (step := container.rpartition("/")[2].partition(".")[0]) and (step not in _BLOCK or step in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "dl", "table", "tbody", "tr", "td", "figure", "figcaption")):
-            container = container.rpartition("/")[0]
-        parts.append((container, main, text, shared))
-        if not shared:
-            by[container] += len(text.strip())
-    best = "" if any_main else _holder(by)
+        parts.append((path, main, text, shared))
     copied = size[True] >= size[False]
-    out, now = [], []
-    for container, main, text, shared in parts:
+    out, now, bare = [], [], True
+
+    def close():
+        said = " ".join("".join(now).split())
+        if said and not (bare and _LABEL.fullmatch(said)):
+            out.append(said)
+
+    for path, main, text, shared in parts:
         if not text:
-            out.append("".join(now))
-            now = []
-        elif main and (copied or not shared) if any_main else (container == best or container.startswith(best + "/")):
+            close()
+            now, bare = [], True
+        elif main and (copied or not shared) if any_main else True:
             now.append(_html.unescape(text))
-    out.append("".join(now))
-    return " ".join(x for x in (" ".join(p.split()) for p in out) if x)
+            bare = bare and not main and path.rpartition("/")[2].partition(".")[0] in ("div", "span")
+    close()
+    return " ".join(out)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most: int = MOST) -> DataFrame:

@@ -240,6 +240,15 @@ def test_extract(html, want):
     assert pages.extract(html, {}) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<div class=hd><h1>Title</h1></div><div class=bd>" + "long text " * 50 + "</div>", "Title " + "long text " * 50),
+    ("<div>A lead.</div><div><div>" + "long text " * 50 + "</div><div>To be continued.</div></div><div>End.</div>", "A lead. " + "long text " * 50 + "To be continued. End."),
+    ("<div>Menu</div><h2>Menu</h2><div>Menu <b>of the day</b></div>", "Menu Menu of the day"),
+])
+def test_no_text_is_dropped_for_its_share(html, want):
+    assert pages.extract(html, {}) == want.strip()
+
+
 def test_page_edges(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, None, "<p>a</p>", "t"), (None, "no url", "<p>a</p>", "t"), (2, "http://h/", "<p>a</p>" * 20000, "t")], "page_id long, url string, html string, text string")
     got = pages.main_text(df).collect()
