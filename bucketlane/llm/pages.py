@@ -10,7 +10,9 @@ neighbours of the class of all pages is valid and nested there (`nest`).
 Pass 2 cuts each page at the template tokens it holds in template order; what is left between them are slots. Text
 nodes that belong to the template aren't content, in articles neither, unless they are half of the article's text and
 more: that is a near copy of another page, which stays whole. A slot counts as content by the elements it stands in:
-never within navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments; within an
+never within navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments, told by tags,
+roles and names (within articles, names count if the template has the element or for a few classes; headings are never
+left out for theirs, sections never for their id); within an
 article or main element if the page has one, else anywhere, but for the label of a menu's switch in a bare div.
 
 Text: character references decoded, white space in a block made one blank, blocks joined by one blank in page order.
@@ -39,7 +41,7 @@ SUPPORT, MOST, FEWEST = 0.6, 100_000, 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|object)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|</(?P<end>[a-z][^\s>/]*)[^>]*>|<(?P<tag>[a-z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|(?P<text>(?:[^<]|<(?![a-z/!?]))+)|<",
     re.I | re.S,
@@ -48,66 +50,77 @@ _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _CLOSES_P = _BLOCK - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "body", "html", "head", "title"}
-_OTHER = frozenset("nav header footer aside form script style head title noscript template button select textarea iframe svg math object dialog menu input label".split())
+_OTHER = frozenset("nav header footer aside form script style head title noscript template button select textarea iframe svg annotation annotation-xml dialog menu input label".split())
 _OTHER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad-?(?:box|slot|unit|block|wrap|wrapper|container)|adverts?|advertisement|advertising|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|comment(?:s|list|box|area|section|thread|form)?|discussion|replies|respond|disqus|"
     r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|header|masthead|popup|modal|widget|pagination|pager|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
+#: Classes that exclude elements within articles, too, whatever the template has.
+_OTHER_CLASS = re.compile(r"(?:^|\s)(?:ads?|ad-?(?:box|slot|unit|block|wrap|wrapper|container)|adverts?|advertisement|advertising|cookie-?(?:banner|notice|consent)|comments|comments?-?(?:list|box|area|section|thread|form)|disqus|side-?bar|navbar|breadcrumbs?|newsletter|pagination|pager)(?:$|\s)", re.I)
+_HEADING = re.compile("h[1-6]")
 _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?body|post-?content|entry-?content|main-?content|article-?content|story-?body)(?:$|[\s_-])", re.I)
 
 #: What the switch of a menu says, as a whole block of bare div and span elements.
 _LABEL = re.compile(r"(?:(?:main|toggle|open|close|site) )?(?:menu|navigation)", re.I)
 
 
-def _name(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(path step, never content, main element)."""
+def _name(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool, bool, bool]:
+    """(path step, never content, main element, never content if the template has it). inside: of a main element."""
     if not attrs.strip():
-        return tag, tag in _OTHER, tag in ("article", "main")
+        return tag, tag in _OTHER, tag in ("article", "main"), False
     got = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(attrs)}
+    classes = got.get("class", "")
     named = " ".join(got.get(k, "") for k in ("class", "id"))
     role, prop = got.get("role", "").lower(), got.get("itemprop", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or prop == "articlebody" or bool(_MAIN_NAME.search(named))
-    other = tag in _OTHER or bool(_OTHER_NAME.search(named)) and tag not in ("body", "html", "article", "main") or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
+    other = tag in _OTHER or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
     other |= "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    return f"{tag}.{named.strip().lower()}" if named.strip() else tag, other, main
+    maybe = False
+    if tag not in ("body", "html", "article", "main") and not _HEADING.fullmatch(tag):
+        # ids of sections are words of their headings
+        said = bool(_OTHER_NAME.search(classes if tag == "section" or "section" in classes.lower().split() else named))
+        other |= bool(_OTHER_CLASS.search(classes)) if inside else said
+        maybe = inside and said and not other
+    return f"{tag}.{named.strip().lower()}" if named.strip() else tag, other, main, maybe
 
 
 def tokens(page: str | None):
-    """(kind, path, text, other, main): kind is "<", ">" or "t" for text nodes, "|" for a break between blocks; other and
-    main tell whether some open element is never content, or is a main one."""
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, other, number of main elements
+    """(kind, path, text, other, main, maybe): kind is "<", ">" or "t" for text nodes, "|" for a break between blocks; other
+    and main tell whether some open element is never content, or is a main one; maybe has the paths of the open elements
+    that are never content if the template has them."""
+    stack: list[tuple[str, str, bool, int, tuple[str, ...]]] = [("", "", False, 0, ())]  # tag, path, other, number of main elements, maybe
 
     def close(tag: str):
         if any(s[0] == tag for s in stack):
             while True:
                 t, path, *_ = stack.pop()
-                yield ">", path, "", stack[-1][2], stack[-1][3]
+                yield ">", path, "", *stack[-1][2:]
                 if t in _BLOCK:
-                    yield "|", "", "", False, 0
+                    yield "|", "", "", False, 0, ()
                 if t == tag:
                     return
 
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
-            yield "t", stack[-1][1], text, stack[-1][2], stack[-1][3]
+            yield "t", stack[-1][1], text, *stack[-1][2:]
         elif (tag := m["tag"]) is not None:
             tag, attrs = tag.lower(), m["attrs"]
             if tag in _CLOSES_P and (p := next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("p", "div", "td", "li", "article", "section", "body")), 0)) and stack[p][0] == "p":
                 yield from close("p")
             elif tag == "li" and any(s[0] == "li" for s in stack[-2:]):
                 yield from close("li")
-            step, other, main = _name(tag, attrs)
+            step, other, main, maybe = _name(tag, attrs, bool(stack[-1][3]))
             if tag in _BLOCK:
-                yield "|", "", "", False, 0
+                yield "|", "", "", False, 0, ()
             path = f"{stack[-1][1]}/{step}"
-            yield "<", path, "", stack[-1][2], stack[-1][3]
+            yield "<", path, "", *stack[-1][2:]
             if tag not in _VOID and not attrs.endswith("/"):
-                stack.append((tag, path, stack[-1][2] or other, len(stack) if main and not stack[-1][3] else stack[-1][3]))
+                stack.append((tag, path, stack[-1][2] or other, len(stack) if main and not stack[-1][3] else stack[-1][3], (*stack[-1][4], path) if maybe else stack[-1][4]))
         elif (tag := m["end"]) is not None:
             yield from close(tag.lower())
         elif (tag := m["raw"]) is not None:
-            yield "<", f"{stack[-1][1]}/{tag.lower()}", "", True, 0
+            yield "<", f"{stack[-1][1]}/{tag.lower()}", "", True, 0, ()
         elif m[0] == "<":
-            yield "t", stack[-1][1], "<", stack[-1][2], stack[-1][3]
+            yield "t", stack[-1][1], "<", *stack[-1][2:]
 
 
 def _key(kind: str, path: str, text: str) -> int:
@@ -132,7 +145,7 @@ def templates(pages: DataFrame, html: str = "html", support: float = SUPPORT) ->
                 mark = xxhash.xxh32_intdigest(page or "", 11) | 1
                 count: dict[int, list[int]] = {}
                 n, said = 0, xxhash.xxh64(seed=11)
-                for kind, path, text, other, _ in tokens(page):
+                for kind, path, text, other, *_ in tokens(page):
                     if kind == "|" or kind == "t" and not text.strip():
                         continue
                     if kind == "t" and not other:
@@ -175,7 +188,7 @@ def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
     reached, any_main = -1.0, False
     size = {False: 0, True: 0}  # characters in main elements, by whether they are of the template
     parts: list[tuple[str, int, str, bool]] = []  # path, main, text, of the template; an empty text is a break
-    for kind, path, text, other, main in tokens(page):
+    for kind, path, text, other, main, maybe in tokens(page):
         if kind == "|":
             parts.append(("", 0, "", False))
             continue
@@ -183,7 +196,7 @@ def extract(page: str | None, template: dict[int, tuple[int, float]]) -> str:
         shared = known is not None and known[1] >= reached
         if shared:
             reached = known[1]  # a new slot
-        if kind != "t" or other or shared and not main:
+        if kind != "t" or other or shared and not main or any(_key("<", p, "") in template for p in maybe):
             continue
         any_main |= bool(main) and bool(text.strip())
         if main:

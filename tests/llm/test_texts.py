@@ -240,6 +240,22 @@ def test_extract(html, want):
     assert pages.extract(html, {}) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<article><section id='discussion'><h2>Discussion</h2>We found</section><h2 id='related-work'>Related work</h2><p>More</p></article>", "Discussion We found Related work More"),
+    ("<section id='legal'><h2 id='legal'>Legal</h2>text</section><div class='section' id='copyright'>terms</div><div id='footer'>no</div>", "Legal text terms"),
+    ("<main><div class='entry-header'><h1>Title</h1></div>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be <object>one</object></main>", "Title Let x=1 be one"),
+    ("<article>a<div class='ad'>no</div><div class='newsletter'>no</div><nav>no</nav><div role=navigation>no</div></article>", "a"),
+])
+def test_parts_of_articles_stay_whatever_their_names(html, want):
+    assert pages.extract(html, {}) == want
+
+
+def test_names_that_the_template_has():
+    html = "<article>a<div class='social'>b</div></article>"
+    key = next(pages._key(k, p, "") for k, p, *_ in pages.tokens(html) if k == "<" and "social" in p)
+    assert pages.extract(html, {}) == "a b" and pages.extract(html, {key: (0, 1.0)}) == "a"
+
+
 @pytest.mark.parametrize("html, want", [
     ("<div class=hd><h1>Title</h1></div><div class=bd>" + "long text " * 50 + "</div>", "Title " + "long text " * 50),
     ("<div>A lead.</div><div><div>" + "long text " * 50 + "</div><div>To be continued.</div></div><div>End.</div>", "A lead. " + "long text " * 50 + "To be continued. End."),
