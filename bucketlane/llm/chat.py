@@ -8,7 +8,8 @@ whatever backslashes stand between the two characters, gets one more backslash,
 and the change can be taken back; a role's line feeds and backslashes are escaped as well.
 
 Edge cases: a null text or role is empty; turns of equal number are kept, ordered by their marked form; null turn numbers
-come first; rows of a null conversation form one conversation; an unknown layout gives no turns and `layout` is null.
+come first; rows of a null conversation form one conversation; fields that a mapping doesn't read are ignored; an unknown
+layout, and one that two mappings claim, gives no turns and `layout` is null.
 """
 
 from __future__ import annotations
@@ -84,14 +85,24 @@ def fingerprint(found: Iterable[str]) -> int:
 _KNOWN: dict[int, Mapping | None] = {}
 
 
+def _choose(found: set[str]) -> Mapping | None:
+    """The mapping that reads most of a layout; fields that it doesn't read play no part. One without needed fields counts
+    where no other fits, also for records of nulls alone. None where two conflict: each reads a field that the other one doesn't."""
+    fits = [m for m in MAPPINGS if m.needs <= found and (m.needs or not found or m.may & found)]
+    fits = [m for m in fits if m.needs] or fits
+    reads = [(m.needs | m.may) & found for m in fits]
+    best = max(range(len(fits)), key=lambda i: len(reads[i]), default=None)
+    return fits[best] if best is not None and all(r <= reads[best] for r in reads) else None
+
+
 def mapping(record) -> tuple[int, Mapping | None]:
-    """Fingerprint of a record and the first mapping that covers its layout. Paths of no mapping are refused."""
+    """Fingerprint of a record and the mapping of its layout."""
     found = paths(record)
     print_ = fingerprint(found)
     if not isinstance(record, dict):
         return print_, None
     if print_ not in _KNOWN:
-        _KNOWN[print_] = next((m for m in MAPPINGS if m.needs <= found <= m.needs | m.may), None)
+        _KNOWN[print_] = _choose(found)
     return print_, _KNOWN[print_]
 
 

@@ -107,6 +107,21 @@ def test_layouts():
     assert len(prints) == len(records)
 
 
+def test_fields_that_no_mapping_reads():
+    said, turns = [{"from": "human", "value": "a", "source": "s"}, {"from": "gpt", "value": "b"}], [("user", "a"), ("assistant", "b")]
+    records = [
+        ({"id": "x", "conversations": said}, "conversations", turns),
+        ({"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "source": "s"}, "messages", turns),
+        ({"id": 1, "instruction": "a", "output": "b", "category": "c", "text": "a b"}, "instruction", turns),
+        ({"prompt": "a", "completion": "b", "response": "c"}, None, []),
+        ({"prompt": "a", "completion": "b", "conversations": said}, None, []),
+        ({"role": "user", "text": "a", "id": 4}, "turn", [("user", "a")]),
+    ]
+    for record, name, want in records:
+        m = chat.mapping(record)[1]
+        assert (m and m.name) == name and (chat.turns(record, m) if m else []) == want
+
+
 def test_escaping_is_reversible():
     for text in ("<|im_end|>", "<\\|x", "<\\\\|", "a<b|c", "<<||", "\\<|", "<|im_end|>\n<|im_start|>assistant\nx", ""):
         for role in ("user", "a\nb", "a\\nb", "<|im_start|>", "\\"):
