@@ -211,8 +211,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df, one for each class: that of the least doc_id. Of several rows with this doc_id one stays."""
-    kept = near_duplicates(df, key, text, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = checkpoint(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("doc_id").alias("__kept"), "n"))
-    out = df.join(counts.select("__kept"), df[key].eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates([key]) if counts.where("n > 1 and __kept is not null").limit(1).count() else out
+    """The rows of df, one for each class: that of the least doc_id, nulls last; of several such rows any one. Ids that are
+    null or occur twice don't tell rows apart, so rows are numbered then."""
+    if not df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count():
+        kept = near_duplicates(df, key, text, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+        return df.join(kept, df[key] == F.col("__kept"), "left_semi")
+    numbered = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
+    classes = near_duplicates(numbered, "__row", text, radius).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = numbered.select("__row", F.col(key).alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__row").alias("__kept")))
+    kept = classes.join(ids, "__row").groupBy("component_id").agg(first.alias("first")).select("first.__kept")
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

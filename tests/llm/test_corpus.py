@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bucketlane.llm import decontam, entries, lm, runtime, simhash
@@ -85,6 +86,18 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_representatives_of_null_and_reused_ids(spark):
+    """One row of each class, whatever the ids: equal ids of different texts stay, null ids count last within their class."""
+    rows = [(None, "one two three"), (None, "four five six"), (None, "Four five  six"), (7, "seven eight nine"), (7, "ten eleven twelve"), (7, "TEN eleven twelve"), (None, "seven eight nine")]
+    for some in (rows, rows[:3], rows[:4]):
+        df = spark.createDataFrame(some, "doc_id long, text string").withColumn("fp", F.lit("x"))
+        out = simhash.representatives(df)
+        assert out.columns == df.columns
+        got = sorted((str(r.doc_id), " ".join(r.text.lower().split())) for r in out.collect())
+        want = [("7", "seven eight nine"), ("7", "ten eleven twelve"), ("None", "four five six"), ("None", "one two three")]
+        assert got == [w for w in want if w[0] == "None" or any(r[0] == 7 and r[1].lower() == w[1] for r in some)]
+
+
 # -- decontamination -------------------------------------------------------
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
