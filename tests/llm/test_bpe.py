@@ -3,6 +3,7 @@ import random
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def pair():
 def test_each_token_encodes_to_itself(pair):
     t, _ = pair
     for i in random.Random(1).sample(sorted(t.bytes_of), 3000):
-        assert t.tokens(t.bytes_of[i]) == [i]
+        assert t.tokens_of([t.bytes_of[i]]) == [array("I", [i]).tobytes()] and list(t.stream(t.bytes_of[i])) == [i]
 
 
 def test_equals_the_library(pair):
@@ -34,11 +35,58 @@ def test_equals_the_library(pair):
         assert "".join(bpe.decode(t.encode(x), t.bytes_of)) == x
 
 
-def test_transitions_and_simulation_agree(pair):
+def test_all_ways_agree(pair, monkeypatch):
     t, ref = pair
-    for piece in (" thereafter", " internationalization", "qzxqzx", " abcabcabc"):
-        want = ref.encode_ordinary(piece)
-        assert t._simulate(piece.encode()) == want == list(t.stream(piece.encode())) == t.tokens(piece.encode())
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["th", "ing", "qu", "é", "ß", "on", "re", "x"]) for _ in range(rng.randint(1, 400))) for _ in range(300)]
+    words += [" thereafter", " internationalization", "qzxqzx", " abcabcabc", "x" * 1500 + "ing" * 300]
+    want = [ref.encode_ordinary(w) for w in words]
+    for most in (bpe.MOST_STATES, 50):  # with 50, the machine starts anew all the time
+        monkeypatch.setattr(bpe, "MOST_STATES", most)
+        assert [array("I", x).tolist() for x in t.tokens_of([w.encode() for w in words])] == want == [list(t.stream(w.encode())) for w in words]
+
+
+def test_every_piece_runs_on_the_machine(pair, monkeypatch):
+    """Each byte of each new piece takes a transition of the machine, in step or alone, and nothing else gives tokens."""
+    t = bpe.Transducer(pair[0].ranks, public_tokenizers.PATTERN)
+    taken, real, alone = [], t._lasts, t.stream
+    monkeypatch.setattr(t, "_lasts", lambda data, start, size: taken.append(int(size.sum())) or real(data, start, size))
+    monkeypatch.setattr(t, "stream", lambda data: taken.append(len(data)) or alone(data))
+    text = "some rare wordsofnovelkind are here, once; wordsofnovelkind\n\nagain 1234 " + "verylong" * 20
+    assert t.encode(text) == pair[1].encode_ordinary(text)
+    assert sum(taken) == sum(len(p.encode()) for p in set(t.find(text)))
+    taken.clear()
+    t.encode(text)
+    assert sum(taken) == len(" " + "verylong" * 20)  # the rest is remembered
+
+
+def test_memory_and_table():
+    import numpy as np
+
+    m = bpe.Memory(8)
+    for i in range(100):
+        m.update({i: str(i)})
+        assert m.get_all([0, i, -1]) == ["0", str(i), None] and len(m.now) + len(m.before) <= 9
+    rng = np.random.default_rng(0)
+    table, keys = bpe.Table(2), rng.permutation(100_000)[:5000]
+    for lo in range(0, 5000, 700):
+        table.put(keys[lo : lo + 700], keys[lo : lo + 700] * 3, keys[lo : lo + 700] % 7)
+    at = table.find(keys)
+    assert (table.keys[at] == keys).all() and (table.to[at] == keys * 3).all() and (table.last[at] == keys % 7).all()
+    assert (table.keys[table.find(np.arange(100_000, 101_000))] == -1).all()
+
+
+def test_parts_of_long_texts(pair, monkeypatch):
+    t, ref = pair
+    rng = random.Random(5)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "é", "漢", " a", " b", "."]) for _ in range(3000))
+    for most in (1, 50, 10**6):
+        assert " ".join(bpe.parts(text, most)) == text
+    whole = list(bpe._digests(t, pa.array([text, "", None, text])))
+    monkeypatch.setattr(bpe, "CHUNK", 100)
+    assert list(bpe._digests(t, pa.array([text, "", None, text]))) == whole
+    ids = ref.encode_ordinary(text)
+    assert whole[0] == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_bounded_lookahead(pair):
