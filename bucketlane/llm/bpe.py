@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from bucketlane.llm.runtime import ship, spans, strings
 
 #: Runs and pieces that a worker remembers, states of its machine, and bytes of text that are worked on at once.
-MOST_PIECES, MOST_STATES, CHUNK = 200_000, 250_000, 1 << 23
+MOST_PIECES, MOST_STATES, CHUNK = 200_000, 250_000, 1 << 22
 #: Bytes of a piece that runs in step with others; longer ones run alone. Bytes of text that are decoded at once.
 SHORT, DECODED = 64, 1 << 20
 #: A single blank between two other characters always separates two matches of the pattern.

@@ -235,13 +235,15 @@ def test_equal_vectors_share_a_class(spark):
     by = {}
     for r in got:
         by.setdefault(r.klass, []).append(r)
-    assert len(by) == 2 and len(by[0]) == 7 and all(len(v) == 1 for k, v in by.items() if k)
+    assert len(by) == 2 and len(by[0]) == 8 and all(len(v) == 1 for k, v in by.items() if k)
 
 
 def test_nesting():
     outer = {i: (0, i * 100.0) for i in range(1, 6)}
     inside, across = {10: (7, 210.0), 11: (7, 250.0)}, {20: (8, 150.0), 21: (8, 350.0)}
     assert pages.nest({**outer, **inside, **across}) == {**outer, **inside} and pages.nest({}) == {}
+    by_place = {t: v for t, v in pages.settle([(t, *v, 5, 0, 0) for t, v in {**outer, **inside, **across}.items()]).items()}
+    assert set(by_place) == {*outer, *inside}
 
 
 @pytest.mark.parametrize("html, want", [
@@ -252,7 +254,7 @@ def test_nesting():
     ("<div>x</div></div></p><p>unclosed <i>text", "x unclosed text"),
 ])
 def test_extract(html, want):
-    assert pages.extract(html, {}) == want
+    assert pages.extract(html, pages.ALONE) == want
 
 
 @pytest.mark.parametrize("html, want", [
@@ -262,13 +264,74 @@ def test_extract(html, want):
     ("<article>a<div class='ad'>no</div><div class='newsletter'>no</div><nav>no</nav><div role=navigation>no</div></article>", "a"),
 ])
 def test_parts_of_articles_stay_whatever_their_names(html, want):
-    assert pages.extract(html, {}) == want
+    assert pages.extract(html, pages.ALONE) == want
 
 
 def test_names_that_the_template_has():
     html = "<article>a<div class='social'>b</div></article>"
-    key = next(pages._key(k, p, "") for k, p, *_ in pages.tokens(html) if k == "<" and "social" in p)
-    assert pages.extract(html, {}) == "a b" and pages.extract(html, {key: (0, 1.0)}) == "a"
+    key = next(pages._key(k, p, t) for k, p, t, says in pages.tokens(html) if k == "<" and says == pages.NAMED)
+    assert pages.extract(html, pages.ALONE) == "a b"
+    assert pages.extract(html, pages.settle([(0, 0, 0.0, 20, 0, 0), (key, 0, 1.0, 2, 0, pages.NAMED)])) == "a"
+
+
+def test_slots_decide(spark):
+    """What the host's pages share decides what is content, not names: with an empty template, or a page's own, texts differ."""
+    page = (
+        "<body><div>Our site since 1999</div><ul><li><a href=1>About {1}</a><li><a href=2>Stories like {1}</a></ul><div class='banner'><p>The story {0} has many words of its own, {1}</p>"
+        "<p>Shared by all pages</p></div><div>Contact us for more</div></body>"
+    )
+    df = spark.createDataFrame([(i, "https://h.example/", page.format(i, f"w{i * 7}")) for i in range(8)], "page_id long, url string, html string")
+    for r in pages.main_text(df).collect():
+        html = page.format(r.page_id, f"w{r.page_id * 7}")
+        assert r.text == f"The story {r.page_id} has many words of its own, w{r.page_id * 7}"
+        assert pages.extract(html, {}).startswith("Our site since 1999 About") and pages.extract(html, pages.ALONE).startswith("Our site since 1999 About")
+
+
+def _brute(htmls):
+    """The template of a host by explicit occurrence vectors of its different pages."""
+    once = {}
+    for h in sorted(htmls, key=lambda h: pages.xxhash.xxh64_intdigest(h) - (1 << 63)):
+        count, said, n = pages.page_tokens(h)
+        once.setdefault(said, (count, n))
+    if len(once) < pages.FEWEST:
+        return pages.ALONE
+    vectors, rows, kinds = {}, [], {(1,) * len(once): 0}
+    for i, (count, n) in enumerate(once.values()):
+        for token, (times, place, chars, linked, says) in count.items():
+            vectors.setdefault(token, []).append((i, times, place * 1000 // (n + 1), chars, linked, says))
+    for token, seen in vectors.items():
+        if len(seen) >= -(-len(once) * 6 // 10):
+            v = [0] * len(once)
+            for i, times, *_ in seen:
+                v[i] = times
+            rows.append((token, kinds.setdefault(tuple(v), len(kinds)), sum(x[2] for x in seen) / len(seen), sum(x[3] for x in seen), sum(x[4] for x in seen), max(x[5] for x in seen)))
+    return pages.settle(rows)
+
+
+def test_pages_query_against_brute_force(spark):
+    """The whole query, against templates by explicit vectors; and the same where templates are joined."""
+    table = spark.read.parquet(f"{MEDIUM}/pages.parquet")
+    by = {}
+    rows = table.select("page_id", "html", pages.host_of(F.col("url")).alias("host")).collect()
+    for r in rows:
+        by.setdefault(r.host, []).append(r.html or "")
+    made = {host: _brute(htmls) for host, htmls in by.items()}
+    assert any(len(t) > 1 for t in made.values())
+    want = {r.page_id: pages.extract(r.html, made[r.host]) for r in rows}
+    assert {r.page_id: r.text for r in entries.op7_pages(spark, MEDIUM).collect()} == want
+    for most in (0, 300):
+        assert {r.page_id: r.text for r in pages.main_text(table, most=most).collect()} == want
+    assert sum(want[r.page_id] != pages.extract(r.html, {}) for r in rows) > 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("broken", ["<a " * 40_000, "<b x='" * 20_000, "<b x=\"" * 20_001, "</a " * 40_000, "<div>" * 20_000 + "</x>" * 20_000, "<i>" * 20_000 + "<hr>" * 20_000, "<!--" * 30_000, "<script " * 20_000, "<script>" * 20_000, "< " * 60_000, "<p" * 60_000, "<![" * 40_000])
+def test_reading_takes_linear_time(broken):
+    import time
+
+    began = time.process_time()
+    pages.extract(broken, pages.ALONE)
+    pages.page_tokens(broken)
+    assert time.process_time() - began < 1.0
 
 
 @pytest.mark.parametrize("html, want", [
@@ -277,7 +340,7 @@ def test_names_that_the_template_has():
     ("<div>Menu</div><h2>Menu</h2><div>Menu <b>of the day</b></div>", "Menu Menu of the day"),
 ])
 def test_no_text_is_dropped_for_its_share(html, want):
-    assert pages.extract(html, {}) == want.strip()
+    assert pages.extract(html, pages.ALONE) == want.strip()
 
 
 def test_page_edges(spark):
