@@ -4,11 +4,12 @@ Each word gets a label (a language) from its features: affixes of one to three l
 itself where it is in the lexicon of frequent training words. Learned transitions tie neighbours, so words of
 code-switched text get their own labels. Posteriors come from forward-backward: texts are cut into blocks of BLOCK
 words, each block's transfer matrix is made in lockstep with all others, and block borders are then passed on, which
-gives the same as one long pass.
+gives the same as one long pass. Long texts go through in parts: forward, keeping what passes each border, then backward.
 
-Training takes at most PER_LANG texts of each language (fewer where MOST_TEXTS would be exceeded) and EXCERPT words of
-each, a bounded sample by text hash; they
-are cut into spans that are chained across languages, so transitions see switches. Everything else reads whole texts.
+Training takes a bounded sample of the labelled rows: at most PER_LANG texts of each language (fewer where MOST_TEXTS would
+be exceeded), by text hash, and of each text that has more than EXCERPT characters as many from PLACES places all over it.
+They are cut into spans that are chained across languages, so transitions see switches. Prediction reads whole texts.
+There may be any number of languages; one number of each comes to the driver.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; without labelled texts all is `und`; ties go to
 the language that sorts first; repeated rows get equal results.
@@ -21,14 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
 from bucketlane.llm.runtime import ship
 
-PER_LANG, EXCERPT, MOST_LANGS, MOST_TEXTS = 300, 150, 128, 10_000
-BITS, BLOCK, CHUNK = 16, 64, 1 << 17
+PER_LANG, EXCERPT, PLACES, MOST_TEXTS = 300, 1500, 12, 10_000
+#: Weights are 2^BITS for each label, fewer where there would be more than MOST_WEIGHTS in all.
+BITS, MOST_WEIGHTS, BLOCK, CHUNK = 16, 1 << 24, 64, 1 << 17
 _U = np.uint64
 _TABLES: list[np.ndarray] = []
 
@@ -61,7 +64,7 @@ class Tokens:
     hash: np.ndarray
 
 
-def tokenize(texts: list[str | None], lexicon: np.ndarray) -> Tokens:
+def tokenize(texts: list[str | None], lexicon: np.ndarray, bits: int = BITS) -> Tokens:
     letter, lower = tables()
     codes = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(t or "") for t in texts], np.int64)
@@ -89,7 +92,7 @@ def tokenize(texts: list[str | None], lexicon: np.ndarray) -> Tokens:
     ids, owner, weight = [], [], []
 
     def put(h: np.ndarray, of: np.ndarray, w: np.ndarray, kind: int) -> None:
-        ids.append((bytewords.mix(h + _U(kind * 0x1F123BB5)) >> _U(64 - BITS)).astype(np.int64))
+        ids.append((bytewords.mix(h + _U(kind * 0x1F123BB5)) >> _U(64 - bits)).astype(np.int64))
         owner.append(of)
         weight.append(w)
 
@@ -136,65 +139,97 @@ class Model:
     lexicon: np.ndarray
 
 
+@dataclass
+class Lattice:
+    """Words of several texts in blocks: text i has the blocks base[i]:base[i] + blocks[i]."""
+
+    base: np.ndarray
+    blocks: np.ndarray
+    place: tuple[np.ndarray, np.ndarray]  # of each word: column in its block, block
+    e: np.ndarray  # by column, block and label
+    real: np.ndarray
+    a: np.ndarray
+    m: np.ndarray  # transfer matrix of each block
+
+    @classmethod
+    def of(cls, first: np.ndarray, scores: np.ndarray, transitions: np.ndarray) -> Lattice:
+        n, labels = scores.shape
+        length = np.diff(first)
+        blocks = -(-length // BLOCK)
+        n_blocks = int(blocks.sum())
+        base = np.cumsum(blocks) - blocks
+        text = np.repeat(np.arange(len(length)), length)
+        local = np.arange(n) - first[:-1][text]
+        place = local % BLOCK, base[text] + local // BLOCK
+        e = np.ones((BLOCK, n_blocks, labels))
+        e[place] = np.exp(scores - scores.max(1, keepdims=True))
+        real = np.zeros((BLOCK, n_blocks, 1), bool)
+        real[place] = True
+        a = np.exp(transitions - transitions.max())
+        m = np.broadcast_to(np.eye(labels), (n_blocks, labels, labels)).copy()
+        for t in range(BLOCK):
+            new = (m @ a) * e[t][:, None, :]
+            new /= new.sum((1, 2), keepdims=True)
+            m = np.where(real[t][:, :, None], new, m)
+        return cls(base, blocks, place, e, real, a, m)
+
+    def through(self, x: np.ndarray, back: bool = False) -> np.ndarray:
+        """What comes out of the blocks, one after the other, if x goes in at the first one (back: at the last one)."""
+        for m in self.m[::-1] if back else self.m:
+            x = m @ x if back else x @ m
+            x = x / x.sum()
+        return x
+
+    def posteriors(self, x: np.ndarray | None = None, y: np.ndarray | None = None) -> np.ndarray:
+        """Label posteriors of each word; x and y: what goes into the texts' first and last blocks, else all labels alike."""
+        n_blocks, labels = self.m.shape[:2]
+        into, out = np.full((n_blocks, labels), 1 / labels), np.full((n_blocks, labels), 1 / labels)
+        some = self.blocks > 0
+        if x is not None:
+            into[self.base[some]] = x
+        if y is not None:
+            out[(self.base + self.blocks - 1)[some]] = y
+        # pass borders on: block number k of all texts at once
+        for k in range(1, int(self.blocks.max())):
+            b = self.base[self.blocks > k] + k
+            z = np.einsum("bi,bij->bj", into[b - 1], self.m[b - 1])
+            into[b] = z / z.sum(1, keepdims=True)
+        for k in range(int(self.blocks.max()) - 2, -1, -1):
+            b = self.base[self.blocks > k + 1] + k
+            z = np.einsum("bij,bj->bi", self.m[b + 1], out[b + 1])
+            out[b] = z / z.sum(1, keepdims=True)
+        alpha = np.empty_like(self.e)
+        now = into
+        for t in range(BLOCK):
+            new = (now @ self.a) * self.e[t]
+            now = np.where(self.real[t], new / new.sum(1, keepdims=True), now)
+            alpha[t] = now
+        now = out
+        for t in range(BLOCK - 1, -1, -1):
+            alpha[t] *= now
+            new = (now * self.e[t]) @ self.a.T
+            now = np.where(self.real[t], new / new.sum(1, keepdims=True), now)
+        got = alpha[self.place]
+        return got / got.sum(1, keepdims=True)
+
+
 def posteriors(first: np.ndarray, scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Forward-backward: label posteriors of each word; texts are first[i]:first[i + 1]."""
-    n, labels = scores.shape
-    if not n:
-        return scores
-    length = np.diff(first)
-    blocks = -(-length // BLOCK)
-    n_blocks = int(blocks.sum())
-    base = np.cumsum(blocks) - blocks
-    text = np.repeat(np.arange(len(length)), length)
-    local = np.arange(n) - first[:-1][text]
-    row, col = base[text] + local // BLOCK, local % BLOCK
-    e = np.ones((BLOCK, n_blocks, labels))
-    e[col, row] = np.exp(scores - scores.max(1, keepdims=True))
-    real = np.zeros((BLOCK, n_blocks, 1), bool)
-    real[col, row] = True
-    a = np.exp(transitions - transitions.max())
-    # transfer matrices of all blocks
-    m = np.broadcast_to(np.eye(labels), (n_blocks, labels, labels)).copy()
-    for t in range(BLOCK):
-        new = (m @ a) * e[t][:, None, :]
-        new /= new.sum((1, 2), keepdims=True)
-        m = np.where(real[t][:, :, None], new, m)
-    # pass borders on: block number k of all texts at once
-    into, out = np.full((n_blocks, labels), 1 / labels), np.full((n_blocks, labels), 1 / labels)
-    for k in range(1, int(blocks.max())):
-        b = base[blocks > k] + k
-        x = np.einsum("bi,bij->bj", into[b - 1], m[b - 1])
-        into[b] = x / x.sum(1, keepdims=True)
-    for k in range(int(blocks.max()) - 2, -1, -1):
-        b = base[blocks > k + 1] + k
-        x = np.einsum("bij,bj->bi", m[b + 1], out[b + 1])
-        out[b] = x / x.sum(1, keepdims=True)
-    alpha = np.empty_like(e)
-    now = into
-    for t in range(BLOCK):
-        new = (now @ a) * e[t]
-        now = np.where(real[t], new / new.sum(1, keepdims=True), now)
-        alpha[t] = now
-    now = out
-    for t in range(BLOCK - 1, -1, -1):
-        alpha[t] *= now
-        new = (now * e[t]) @ a.T
-        now = np.where(real[t], new / new.sum(1, keepdims=True), now)
-    got = alpha[col, row]
-    return got / got.sum(1, keepdims=True)
+    return Lattice.of(first, scores, transitions).posteriors() if len(scores) else scores
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model:
     """Trains by gradient ascent on the conditional likelihood of chained spans (AdaGrad)."""
     names = sorted(set(langs))
     label = {x: i for i, x in enumerate(names)}
-    size, n_labels, rng = 1 << BITS, len(names), np.random.default_rng(seed)
-    plain = tokenize(texts, np.zeros(0, np.uint64))
+    bits = min(BITS, (MOST_WEIGHTS // max(1, len(names))).bit_length() - 1)
+    size, n_labels, rng = 1 << bits, len(names), np.random.default_rng(seed)
+    plain = tokenize(texts, np.zeros(0, np.uint64), bits)
     count = np.bincount(plain.form, minlength=len(plain.hash)) if len(plain.form) else np.zeros(0, int)
     lexicon = np.sort(plain.hash[count >= 3])
-    t = tokenize(texts, lexicon)
+    t = tokenize(texts, lexicon, bits)
     # spans of up to 12 words, then sequences of 4 spans
-    spans = [(f, min(f + 12, int(t.first[i + 1])), label[langs[i]]) for i in range(len(texts)) for f in range(int(t.first[i]), min(int(t.first[i + 1]), int(t.first[i]) + EXCERPT), 12)]
+    spans = [(f, min(f + 12, int(t.first[i + 1])), label[langs[i]]) for i in range(len(texts)) for f in range(int(t.first[i]), int(t.first[i + 1]), 12)]
     w, trans = np.zeros((size, n_labels)), np.zeros((n_labels, n_labels))
     gw, gt = np.full((size, n_labels), 1e-3), np.full((n_labels, n_labels), 1e-3)
     for _ in range(epochs if spans else 0):
@@ -203,8 +238,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
         order = order[np.argsort(np.array([spans[i][2] for i in order]) if rng.random() < 0.5 else rng.random(len(order)), kind="stable")]
         groups = [order[i : i + 4] for i in range(0, len(order), 4)]
         rng.shuffle(groups)
-        for lo in range(0, len(groups), 256):
-            batch = groups[lo : lo + 256]
+        many_ = max(4, min(256, (1 << 18) // n_labels**2))
+        for lo in range(0, len(groups), many_):
+            batch = groups[lo : lo + many_]
             word = np.full((len(batch), 48), -1, np.int64)
             gold = np.zeros((len(batch), 48), np.int64)
             for r, g in enumerate(batch):
@@ -251,25 +287,61 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
     return Model(names, w.astype(np.float32), trans, lexicon)
 
 
+def _chunk(model: Model) -> int:
+    """Characters that are worked on at once; fewer with many labels, as transfer matrices have their square."""
+    return max(1 << 12, CHUNK * 16 // max(16, len(model.langs) ** 2))
+
+
+def _scores(model: Model, texts: list[str | None]) -> tuple[Tokens, np.ndarray]:
+    t = tokenize(texts, model.lexicon, (len(model.weights) - 1).bit_length())
+    return t, emissions(t, model.weights)[t.form]
+
+
+def _by_part(model: Model, text: str):
+    """Posteriors of a long text's words, part by part, from the last one to the first one."""
+    letter, cuts = tables()[0], [0]
+    while cuts[-1] < len(text):
+        at = min(cuts[-1] + _chunk(model), len(text))
+        while at < len(text) and letter[ord(text[at])]:
+            at += 1
+        cuts.append(at)
+    lattices = lambda a, b: Lattice.of(*(lambda t, x: (t.first, x))(*_scores(model, [text[a:b]])), model.transitions)
+    x, into = np.full(len(model.langs), 1 / len(model.langs)), []
+    y = x
+    for a, b in zip(cuts, cuts[1:]):
+        into.append(x)
+        x = lattices(a, b).through(x)
+    for i in range(len(into) - 1, -1, -1):
+        now = lattices(cuts[i], cuts[i + 1])
+        if len(now.m):
+            yield now.posteriors(into[i], y)
+            y = now.through(y, back=True)
+
+
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, mean posterior) of each text."""
-    t = tokenize(texts, model.lexicon)
-    if not model.langs or not len(t.form):
+    if not model.langs:
         return [("und", 0.0)] * len(texts)
-    p = posteriors(t.first, emissions(t, model.weights)[t.form], model.transitions)
-    total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-    count = np.diff(t.first)
-    mean = (total[t.first[1:]] - total[t.first[:-1]]) / np.maximum(count, 1)[:, None]
+    if len(texts) == 1 and len(texts[0] or "") > 2 * _chunk(model):
+        total, count = np.zeros((1, len(model.langs))), np.zeros(1, np.int64)
+        for p in _by_part(model, texts[0]):
+            total, count = total + p.sum(0), count + len(p)
+    else:
+        t, scores = _scores(model, texts)
+        if not len(t.form):
+            return [("und", 0.0)] * len(texts)
+        sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(posteriors(t.first, scores, model.transitions), axis=0)])
+        total, count = sums[t.first[1:]] - sums[t.first[:-1]], np.diff(t.first)
+    mean = total / np.maximum(count, 1)[:, None]
     best = mean.argmax(1)
     return [(model.langs[b], min(1.0, max(0.0, float(m[b])))) if c else ("und", 0.0) for b, m, c in zip(best, mean, count)]
 
 
 def label_words(model: Model, text: str) -> list[tuple[str, str]]:
     """(word, language) of a code-switched text, in order; words in lower case are told apart by their letters alone."""
-    t = tokenize([text], model.lexicon)
-    if not len(t.form):
+    if not model.langs:
         return []
-    p = posteriors(t.first, emissions(t, model.weights)[t.form], model.transitions)
+    labels = [i for p in reversed([p.argmax(1) for p in _by_part(model, text)]) for i in p.tolist()]
     letter, _ = tables()
     words, now = [], ""
     for ch in text + " ":
@@ -278,22 +350,40 @@ def label_words(model: Model, text: str) -> list[tuple[str, str]]:
         elif now:
             words.append(now)
             now = ""
-    return [(w, model.langs[i]) for w, i in zip(words, p.argmax(1))]
+    return [(w, model.langs[i]) for w, i in zip(words, labels)]
+
+
+def excerpts(text: str, most: int = EXCERPT, places: int = PLACES) -> str:
+    """The text, or if it's longer than `most` characters about as many from `places` places at equal distances, the first of
+    which is told by the text's hash. Each has whole words, unless there are hardly any blanks, and a line of its own."""
+    if len(text) <= most:
+        return text
+    step, size = len(text) // places, most // places
+    at = xxhash.xxh32_intdigest(text[:4096]) % step
+    out = []
+    for a in range(at, len(text), step):
+        words = text[max(0, a - 1) : a + size + 1].split()
+        out.append(" ".join(words[1:-1] if len(words) > 2 else words))
+    return "\n".join(out)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
     """The model of a bounded sample of the rows: for each language, up to `per_lang` distinct texts of least hash."""
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return fit([], [])
     per_lang = max(1, min(per_lang, MOST_TEXTS // len(sizes)))
-    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * per_lang / max(n, 1)))))
-    some = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    # at most about 2 * per_lang distinct texts of each language, a bounded excerpt of each
-    got = some.groupBy("lang", "h").agg(F.min(F.substring("text", 1, EXCERPT * 30)).alias("text")).collect()
+    share = labelled.sparkSession.createDataFrame([(k, min(1.0, 2 * per_lang / max(n, 1))) for k, n in sizes.items()], "lang string, share double")
+    some = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "h", "text")  # a row a language
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([excerpts(x.as_py()) for x in b.column(2)], pa.string())], ["lang", "h", "text"])
+
+    # at most about 2 * per_lang distinct texts of each language, of bounded size
+    got = some.mapInArrow(run, "lang string, h long, text string").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.h & (2**64 - 1))):
         by.setdefault(r.lang, []).append(r.text)
@@ -301,15 +391,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
     return fit([t for t, _ in picked], [k for _, k in picked])
 
 
-def _batches(column: pa.Array):
-    """Lists of texts of about CHUNK characters."""
+def _batches(column: pa.Array, chunk: int):
+    """Lists of texts of about `chunk` characters; a longer one stands alone."""
     some, size = [], 0
     for x in column:
-        some.append(x.as_py())
-        size += len(some[-1] or "")
-        if size > CHUNK:
+        text = x.as_py()
+        if some and size + len(text or "") > chunk:
             yield some
             some, size = [], 0
+        some.append(text)
+        size += len(text or "") + BLOCK  # no text has less than a block
     if some:
         yield some
 
@@ -321,7 +412,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def run(batches):
         for b in batches:
-            got = [p for some in _batches(b.column(1)) for p in predict(shared.value, some)]
+            got = [p for some in _batches(b.column(1), _chunk(shared.value)) for p in predict(shared.value, some)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return df.select(key, text).mapInArrow(run, f"doc_id {df.schema[key].dataType.simpleString()}, lang_pred string, score double")
@@ -334,7 +425,7 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", least: floa
 
     def run(batches):
         for b in batches:
-            got = [p for some in _batches(b.column(at)) for p in predict(shared.value, some)]
+            got = [p for some in _batches(b.column(at), _chunk(shared.value)) for p in predict(shared.value, some)]
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

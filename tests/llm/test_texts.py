@@ -32,6 +32,71 @@ def test_forward_backward_equals_brute_force():
         assert np.allclose(got[a:b], want / want.sum(1, keepdims=True))
 
 
+def test_parts_of_long_texts(spark, monkeypatch):
+    """A text that goes through in parts has the posteriors of one pass."""
+    model = langid.fit(["the and of to was with", "der die das und nicht mit"], ["en", "de"])
+    text = " ".join(np.random.default_rng(3).choice(["the", "und", "x", "mit", "was", "12", "die"], 9000))
+    t, scores = langid._scores(model, [text])
+    whole = langid.posteriors(t.first, scores, model.transitions)
+    monkeypatch.setattr(langid, "CHUNK", 1 << 12)
+    parts = list(langid._by_part(model, text))
+    assert len(parts) > 5 and np.allclose(np.concatenate(parts[::-1]), whole)
+    (lang, score), best = langid.predict(model, [text])[0], whole.mean(0)
+    assert lang == model.langs[int(best.argmax())] and abs(score - best.max()) < 1e-9
+    assert langid.predict(model, ["1 2 " * 9000]) == [("und", 0.0)] and [x for _, x in langid.label_words(model, text)] == [model.langs[i] for i in whole.argmax(1)]
+
+
+def test_excerpts_come_from_all_over_a_text():
+    text = " ".join(f"w{i:05d}" for i in range(20_000))
+    got = langid.excerpts(text)
+    seen = [int(w[1:]) for w in got.split()]
+    assert len(got) < 2 * langid.EXCERPT and set(got.split()) <= set(text.split()) and seen == sorted(seen)
+    assert min(seen) < 2000 and max(seen) > 18_000 and langid.excerpts("a b") == "a b" and set(langid.excerpts("x" * 9000)) == {"x", "\n"}
+
+
+def test_many_languages(spark):
+    """More languages than weights allow with all bits, and one row of each."""
+    names = [f"l{i}" for i in range(300)]
+    df = spark.createDataFrame([(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "abcdefgh"), n) for i, n in enumerate(names)], "text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted(names) and len(model.weights) * 300 <= langid.MOST_WEIGHTS
+    rows = df.collect()
+    assert np.mean([langid.predict(model, [r.text])[0][0] == r.lang for r in rows[:40]]) > 0.9
+
+
+def _op1_brute(docs, model):
+    """Each word's posteriors by forward-backward over the whole text, one word at a time."""
+    out = {}
+    for r in docs:
+        t, scores = langid._scores(model, [r.text])
+        if not len(t.form):
+            out[r.doc_id] = ("und", 0.0)
+            continue
+        e, a = np.exp(scores - scores.max(1, keepdims=True)), np.exp(model.transitions - model.transitions.max())
+        f, b = np.empty_like(e), np.empty_like(e)
+        x = y = np.full(len(model.langs), 1 / len(model.langs))
+        for i in range(len(e)):
+            x = (x @ a) * e[i]
+            x = f[i] = x / x.sum()
+        for i in range(len(e) - 1, -1, -1):
+            b[i] = y
+            y = a @ (y * e[i])
+            y = y / y.sum()
+        p = f * b
+        mean = (p / p.sum(1, keepdims=True)).mean(0)
+        out[r.doc_id] = (model.langs[int(mean.argmax())], float(mean.max()))
+    return out
+
+
+def test_langid_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = _op1_brute(docs.collect(), entries.language_model(docs))
+    rows = entries.op1_langid(spark, SMALL).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-6
+
+
 def test_langid_query(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
     rows = entries.op1_langid(spark, MEDIUM).collect()
