@@ -1,21 +1,26 @@
 """Quality classification by co-training two views.
 
-The content view has shares and counts taken from the whole text (letters, marks, case, lines, repeated words); the
-metadata view has the page's source, language tag and length. Each is a logistic model. In each round each view labels
-the unlabelled rows it is surest of, as many good ones and bad ones as their shares among the labels tell, for the other
-view to learn from. A quarter of the labelled rows is kept out of this to calibrate each view (Platt scaling) and to
-weigh the calibrated views into one score.
+The content view has shares and counts taken from the whole text (letters, marks, case, lines, repeated words) and its
+words and letter trigrams, hashed; the metadata view has the page's source, language tag and length. Each is a logistic
+model. In each round each view labels the unlabelled rows that it is surest of, as many good ones and bad ones as their
+shares among the labels tell, for the other view to learn from. A quarter of the labelled rows is kept out of this to
+calibrate each view (Platt scaling) and to weigh the calibrated views into one score.
 
-Fitting takes bounded samples: at most LABELLED labelled and POOL unlabelled rows, by a hash of their id. Scoring
-covers all rows and whole texts.
+Features of all rows are made once and written to the shared folder while the model is fitted. Labelled are at most
+LABELLED rows, by least hash, a bounded sample. Unlabelled are all rows without a label: each round scores all of them and
+takes the surest ones, up to GIVEN for each view in all rounds (rows of equal features count once). Scoring covers all rows
+and whole texts.
 
 Edge cases: null and empty texts score as empty content; null source and language are values of their own; labels of
-null or for missing documents don't count, repeated ones count each time; if all labels agree, or there are none, each
-score is their share (0.5 without labels); ties of the 0.5 threshold are accepted; repeated rows get equal scores.
+null or for missing documents don't count; the labels of one document vote, a tie is good; rows that share an id share its
+label; if all labels agree, or there are none, each score is their share (0.5 without labels); of equally sure rows those
+of least hash are taken; rows that score the threshold exactly are accepted; repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
-from bucketlane.llm.runtime import ship, spans, strings
+from bucketlane.llm.runtime import remove, shared_dir, ship, spans, strings
 
-LABELLED, POOL, ROUNDS, SLOTS, CHUNK = 8000, 4000, 4, 64, 1 << 19
-SHARE = 1 << 30
+LABELLED, GIVEN, ROUNDS, SLOTS, GRAMS, CHUNK = 8000, 1000, 4, 64, 64, 1 << 19
+N_CONTENT, N_METADATA = 23 + 2 * GRAMS, SLOTS + 32 + 24
 
 
 def _classes() -> np.ndarray:
@@ -44,7 +49,7 @@ CLASSES = _classes()
 
 
 def content(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of features for each text."""
+    """One row of features for each text, with the precision of half floats."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     text = np.repeat(np.arange(n), size)
@@ -71,19 +76,31 @@ def content(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(new)
         np.maximum.at(top, d[at], np.diff(np.append(at, len(h))))
     per = lambda x: np.bincount(w.doc[x], minlength=n) / some
+    # words and letter trigrams, hashed
+    by_word = np.bincount(w.doc * GRAMS + (w.hash % np.uint64(GRAMS)).astype(np.int64), minlength=n * GRAMS).reshape(n, GRAMS) / some[:, None]
+    at = np.flatnonzero(text[2:] == text[:-2]) if len(text) > 2 else np.zeros(0, np.int64)
+    code = (w.data[at].astype(np.uint64) << np.uint64(16)) | (w.data[at + 1].astype(np.uint64) << np.uint64(8)) | w.data[at + 2 if len(at) else at]
+    by_gram = np.bincount(text[at] * GRAMS + (bytewords.mix(code) % np.uint64(GRAMS)).astype(np.int64), minlength=n * GRAMS).reshape(n, GRAMS) / np.maximum(size - 2, 1)[:, None]
     return np.column_stack([
         share, mean / 10, per(upper), per(odd), per(alone), per(loud), per(again), distinct / np.sqrt(some) / 10, distinct / some,
         top / some, np.log1p(count) / 5, np.sqrt(per(odd)), np.sqrt(per(alone)), np.sqrt(per(loud)), np.sqrt(per(again)), (count == 0),
-    ]).astype(np.float64)
+        np.sqrt(by_word), np.sqrt(by_gram),
+    ]).astype(np.float16).astype(np.float64)
 
 
 def metadata(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Hashed source and language, and length bands."""
-    out = np.zeros((len(source), SLOTS + 32 + 24))
+    """Three columns that are 1 in each row: hashed source and language, and length band."""
+    out = np.zeros((len(source), 3), np.int16)
     for i, (s, l, c) in enumerate(zip(source, lang, n_chars)):
-        out[i, xxhash.xxh64_intdigest(f"s{s}") % SLOTS] = 1
-        out[i, SLOTS + xxhash.xxh64_intdigest(f"l{l}") % 32] = 1
-        out[i, SLOTS + 32 + min(23, int(np.log2(max(0, c or 0) + 1)))] = 1
+        out[i, 0] = xxhash.xxh64_intdigest(f"s{s}") % SLOTS
+        out[i, 1] = SLOTS + xxhash.xxh64_intdigest(f"l{l}") % 32
+        out[i, 2] = SLOTS + 32 + min(23, int(np.log2(max(0, c or 0) + 1)))
+    return out
+
+
+def widened(columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(columns), N_METADATA))
+    out[np.arange(len(columns))[:, None], columns] = 1
     return out
 
 
@@ -131,7 +148,15 @@ class Model:
         return 1 / (1 + np.exp(-np.column_stack([self.mixed.logit(np.column_stack(x)), *x])))
 
 
-def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, share: float = 0.1, seed: int = 3) -> Model:
+#: Features of rows: content, metadata.
+Rows = tuple[np.ndarray, np.ndarray]
+#: Given the views' models, and how many bad and good ones are wanted: by view, the surest bad and good ones of the
+#: unlabelled rows that weren't given before.
+Pick = Callable[[list[Logistic], int, int], list[tuple[Rows, Rows]]]
+
+
+def cotrain(labelled: Rows, y: np.ndarray, pick: Pick, given: int = GIVEN, rounds: int = ROUNDS, seed: int = 3) -> Model:
+    """given: rows that each view labels for the other one in all rounds."""
     good = float(y.mean()) if len(y) else 0.5
     if len(y) < 20 or not 0 < good < 1:
         return Model(good)
@@ -140,24 +165,11 @@ def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[
     if not 0 < y[held].mean() < 1 or not 0 < y[train].mean() < 1:
         held = train = order
     own = [(f[train], y[train]) for f in labelled]
-    free = np.ones(len(pool[0]), bool)
-    for r in range(rounds):
-        models = [logistic(*o) for o in own]
-        given = []
-        for v, m in enumerate(models):
-            left = np.flatnonzero(free)
-            if not len(left):
-                break
-            p = m.logit(pool[v][left])
-            k = max(1, int(len(pool[0]) * share / rounds))
-            by = np.argsort(p, kind="stable")
-            # only rows on the right side of this view's own threshold are confident
-            bad, fine = by[: max(1, round(k * (1 - good)))], by[::-1][: max(1, round(k * good))]
-            bad, fine = left[bad[p[bad] < -1]], left[fine[p[fine] > 1]]
-            given.append((1 - v, np.concatenate([bad, fine]), np.concatenate([np.zeros(len(bad)), np.ones(len(fine))])))
-            free[np.concatenate([bad, fine])] = False
-        for v, rows, guess in given:
-            own[v] = (np.concatenate([own[v][0], pool[v][rows]]), np.concatenate([own[v][1], guess]))
+    k = max(1, given // rounds)
+    for _ in range(rounds):
+        for v, (bad, fine) in enumerate(pick([logistic(*o) for o in own], max(1, round(k * (1 - good))), max(1, round(k * good)))):
+            other = 1 - v
+            own[other] = (np.concatenate([own[other][0], bad[other], fine[other]]), np.concatenate([own[other][1], np.zeros(len(bad[other])), np.ones(len(fine[other]))]))
     views = tuple(logistic(*o) for o in own)
     logits = [v.logit(f[held])[:, None] for v, f in zip(views, labelled)]
     calibrated = tuple(logistic(x, y[held]) for x in logits)
@@ -165,41 +177,136 @@ def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[
     return Model(good, views, calibrated, mixed)
 
 
-def _features(b: pa.RecordBatch, text: str, source: str, lang: str, n_chars: str):
+def _surest(models: list[Logistic], rows: Rows, prints: np.ndarray, want: tuple[int, int]) -> list[tuple[int, int, float, int]]:
+    """(view, side, doubt, row number) of the surest rows; only rows on the right side of a view's own threshold are sure.
+    Rows of equal print count once."""
+    once, out = np.unique(prints, return_index=True)[1], []
+    for v, m in enumerate(models):
+        p = m.logit(rows[v][once])
+        for side, doubt in enumerate((p, -p)):
+            sure = np.flatnonzero(doubt < -1)
+            best = sure[np.lexsort((prints[once[sure]], doubt[sure]))[: want[side]]]
+            out += [(v, side, float(doubt[i]), int(once[i])) for i in best]
+    return out
+
+
+def prints_of(content_: np.ndarray, metadata_: np.ndarray) -> np.ndarray:
+    """A hash of each row's features."""
+    return np.array([xxhash.xxh64_intdigest(a.tobytes() + m.tobytes()) - (1 << 63) for a, m in zip(content_.astype(np.float16), metadata_)], np.int64)
+
+
+def from_arrays(content_: np.ndarray, metadata_: np.ndarray, wide: np.ndarray | None = None) -> Pick:
+    """Picks from rows in memory. wide: the metadata as the models see it."""
+    free = {"rows": (content_, widened(metadata_) if wide is None else wide), "prints": prints_of(content_, metadata_)}
+
+    def pick(models, bad, fine):
+        rows, prints = free["rows"], free["prints"]
+        got = _surest(models, rows, prints, (bad, fine))
+        taken = np.isin(prints, [prints[i] for *_, i in got])
+        out = []
+        for v in (0, 1):
+            sides = [[i for view, s, _, i in got if (view, s) == (v, side)] for side in (0, 1)]
+            out.append(tuple((rows[0][i], rows[1][i]) for i in sides))
+        free["rows"], free["prints"] = (rows[0][~taken], rows[1][~taken]), prints[~taken]
+        return out
+
+    return pick
+
+
+def from_table(pool: DataFrame) -> Pick:
+    """Picks from all rows (a, m, print) of a table; only the picked rows come to the driver."""
+    taken: set[int] = set()
+
+    def pick(models, bad, fine):
+        shared = pool.sparkSession.sparkContext.broadcast((models, np.array(sorted(taken), np.int64)))  # at most 2 * GIVEN prints
+
+        def run(batches):
+            models, given = shared.value
+            best: dict[tuple[int, int], dict[int, tuple]] = {(v, side): {} for v in (0, 1) for side in (0, 1)}
+            for b in batches:
+                prints = b.column(2).to_numpy()
+                at = np.flatnonzero(~np.isin(prints, given))
+                if not len(at):
+                    continue
+                some = b.take(pa.array(at))
+                for v, side, doubt, i in _surest(models, _wide(some.column(0), some.column(1)), prints[at], (bad, fine)):
+                    best[v, side][int(prints[at[i]])] = (doubt, some.column(0)[i].as_py(), some.column(1)[i].as_py())
+                for (v, side), rows in best.items():
+                    n = (bad, fine)[side]
+                    if len(rows) > 4 * n:
+                        best[v, side] = dict(sorted(rows.items(), key=lambda x: (x[1][0], x[0]))[:n])
+            rows = [(v, side, doubt, p, a, m) for (v, side), found in best.items() for p, (doubt, a, m) in sorted(found.items(), key=lambda x: (x[1][0], x[0]))[: (bad, fine)[side]]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], ["view", "side", "doubt", "print", "a", "m"])
+
+        found = pool.select("a", "m", "print").mapInArrow(run, "view int, side int, doubt double, print long, a binary, m binary")
+        found = found.groupBy("view", "side", "print").agg(F.min(F.struct("doubt", "a", "m")).alias("x")).select("view", "side", "print", "x.*").persist()
+        out, new = [], set()
+        for v in (0, 1):
+            sides = []
+            for side, n in enumerate((bad, fine)):
+                got = found.where((F.col("view") == v) & (F.col("side") == side)).orderBy("doubt", "print").limit(n).collect()  # a top-k
+                new.update(r["print"] for r in got)
+                sides.append(_wide(pa.array([bytes(r.a) for r in got], pa.binary()), pa.array([bytes(r.m) for r in got], pa.binary())))
+            out.append(tuple(sides))
+        taken.update(new)
+        found.unpersist()
+        shared.destroy()
+        return out
+
+    return pick
+
+
+def _packed(content_: np.ndarray, metadata_: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return pa.array([x.tobytes() for x in content_.astype(np.float16)], pa.binary()), pa.array([x.tobytes() for x in metadata_], pa.binary())
+
+
+def _wide(a: pa.Array, m: pa.Array) -> Rows:
+    content_ = np.frombuffer(b"".join(a.to_pylist()), np.float16).reshape(-1, N_CONTENT).astype(np.float64)
+    return content_, widened(np.frombuffer(b"".join(m.to_pylist()), np.int16).reshape(-1, 3))
+
+
+def _features(b: pa.RecordBatch, text: str, source: str, lang: str, n_chars: str) -> Rows:
+    """Content, and columns of the metadata."""
     data, offsets = strings(b.column(text))
     parts = [content(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in spans(offsets, CHUNK)]
-    a = np.concatenate(parts) if parts else np.zeros((0, 23))
+    a = np.concatenate(parts) if parts else np.zeros((0, N_CONTENT))
     return a, metadata(*(b.column(c).to_pylist() for c in (source, lang, n_chars)))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", key: str = "doc_id", label: str = "quality") -> Model:
-    """The model of the labels of `docs`; both samples are bounded and chosen by a hash of the id."""
-    ship(docs.sparkSession)
-    told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("double").alias("y"))
-    n_told, n_docs = told.count(), docs.count()
+def features(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(a, m, print, y) of each row of docs: packed features, their hash, and the label or null."""
+    told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg((F.avg((F.col(label) > 0).cast("int")) >= 0.5).cast("double").alias("y"))
     rows = docs.select(F.col(key).alias("id"), *(F.col(c).alias(k) for k, c in (("text", text), ("source", source), ("lang", lang), ("n_chars", n_chars))))
-    h = F.pmod(F.xxhash64(F.coalesce("id", F.lit(0))), F.lit(SHARE))
-    some = rows.where(h < min(1.0, LABELLED / max(1, n_told)) * SHARE).join(told, "id")
-    pool = rows.where((h >= min(1.0, LABELLED / max(1, n_told)) * SHARE / 2) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARE)) < min(1.0, POOL / max(1, n_docs)) * SHARE)).withColumn("y", F.lit(None).cast("double"))
 
     def run(batches):
         for b in batches:
             a, m = _features(b, "text", "source", "lang", "n_chars")
-            yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.list_(pa.float64())), pa.array(list(m.astype(bool).astype(float)), pa.list_(pa.float64())), b.column("y")], ["a", "m", "y"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *_packed(a, m), pa.array(prints_of(a, m))], ["id", "a", "m", "print"])
 
-    columns = ["text", "source", "lang", "n_chars", "y"]
-    # bounded: hash shares of about LABELLED and POOL rows, features alone
-    got = some.select(columns).union(pool.select(columns)).mapInArrow(run, "a array<double>, m array<double>, y double").limit(2 * (LABELLED + POOL)).collect()
-    shape = lambda rows, f, n: np.array([getattr(r, f) for r in rows]).reshape(-1, n)
-    known, free = [r for r in got if r.y is not None], [r for r in got if r.y is None]
-    known.sort(key=lambda r: (r.a, r.m, r.y))
-    free.sort(key=lambda r: (r.a, r.m))
-    y = np.array([float(r.y > 0) for r in known])
-    return cotrain(tuple(shape(known, f, n) for f, n in (("a", 23), ("m", SLOTS + 56))), y, tuple(shape(free, f, n) for f, n in (("a", 23), ("m", SLOTS + 56))))
+    made = rows.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, a binary, m binary, print long")
+    return made.join(told, "id", "left").select("a", "m", "print", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", key: str = "doc_id", label: str = "quality") -> Model:
+    """The model of the labels of `docs`: co-trained over all its rows."""
+    spark = docs.sparkSession
+    ship(spark)
+    folder = f"{shared_dir(spark)}/quality-{uuid.uuid4().hex}"
+    try:
+        features(docs, labels, text, source, lang, n_chars, key, label).write.parquet(folder)
+        made = spark.read.parquet(folder)
+        pool = made.where("y is null")
+        known = made.where("y is not null").orderBy("print", "y").limit(LABELLED).collect()  # a bounded sample
+        y = np.array([r.y for r in known])
+        rows = _wide(pa.array([bytes(r.a) for r in known], pa.binary()), pa.array([bytes(r.m) for r in known], pa.binary()))
+        return cotrain(rows, y, from_table(pool), min(GIVEN, pool.count() // 10))
+    finally:
+        remove(spark, folder)
 
 
 def _scores(b: pa.RecordBatch, model: Model, names: tuple[str, str, str, str]) -> np.ndarray:
-    return model.scores(*_features(b, *names))
+    a, m = _features(b, *names)
+    return model.scores(a, widened(m))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from bucketlane.llm import chat, entries, langid, licences, media, pages, quality
 from tests.conftest import MEDIUM, SMALL
 
+LARGE = "/root/testdata/sf0.1"
+
+
 
 # -- language ID -----------------------------------------------------------
 def test_forward_backward_equals_brute_force():
@@ -132,12 +135,54 @@ def test_quality_query(spark):
     assert np.mean([a for a, y in seen if y]) > 0.99
 
 
+def test_quality_on_held_out_labels(spark):
+    """Labels of a quarter of the documents take no part in training."""
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where("doc_id % 4 != 1"))
+    held = {r.doc_id: r.quality for r in labels.where("doc_id % 4 = 1").collect()}
+    seen = [(r, held[r.doc_id]) for r in quality.score(docs, model).collect() if r.doc_id in held]
+    assert np.mean([r.accepted == bool(y) for r, y in seen]) > 0.98
+    assert np.mean([r.accepted for r, y in seen if y]) > 0.99
+    assert abs(np.mean([r.quality_score for r, _ in seen]) - np.mean([y for _, y in seen])) < 0.02  # calibrated
+
+
+def test_quality_query_against_brute_force(spark):
+    """The whole query, against co-training over rows in memory."""
+    docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet").collect(), {r.doc_id: float(r.quality > 0) for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect() if r.quality is not None}
+    data, offsets = quality.strings(quality.pa.array([r.text for r in docs], quality.pa.string()))
+    a, m = quality.content(data, offsets), quality.metadata([r.source for r in docs], [r.lang for r in docs], [r.n_chars for r in docs])
+    prints, y = quality.prints_of(a, m), np.array([labels.get(r.doc_id, np.nan) for r in docs])
+    told = np.flatnonzero(~np.isnan(y))
+    told, free = told[np.lexsort((y[told], prints[told]))], np.flatnonzero(np.isnan(y))
+    assert len(free) > 300
+    model = quality.cotrain((a[told], quality.widened(m)[told]), y[told], quality.from_arrays(a[free], m[free]), min(quality.GIVEN, len(free) // 10))
+    want = dict(zip([r.doc_id for r in docs], model.scores(a, quality.widened(m)).tolist()))
+    rows = entries.op3_quality(spark, MEDIUM).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert np.allclose([r.quality_score, r.content_score, r.metadata_score], want[r.doc_id], atol=1e-6) and r.accepted == (r.quality_score >= 0.5)
+
+
+def test_ties_and_copies_among_the_surest(spark):
+    """Rows of equal features are given once, ties go by hash; the table gives what the arrays give."""
+    rng = np.random.default_rng(2)
+    a, m = np.repeat(rng.random((40, quality.N_CONTENT)), 5, 0).astype(np.float16).astype(float), np.repeat(quality.metadata([f"s{i % 7}" for i in range(40)], ["x"] * 40, [9] * 40), 5, 0)
+    models = [quality.logistic(f[::5], np.arange(40) % 2.0) for f in (a, quality.widened(m))]
+    packed = [x.to_pylist() for x in quality._packed(a, m)]
+    table = spark.createDataFrame(list(zip(*packed, quality.prints_of(a, m).tolist())), "a binary, m binary, print long").repartition(5)
+    one, two = quality.from_arrays(a, m), quality.from_table(table)
+    for _ in range(3):
+        for (x, y), (u, w) in zip(one(models, 4, 6), two(models, 4, 6)):
+            for p, q in ((x, u), (y, w)):
+                assert all((i == j).all() for i, j in zip(p, q)) and len(np.unique(p[0], axis=0)) == len(p[0])
+
+
 def test_cotraining_helps_the_weak_view_and_holds_out():
     rng = np.random.default_rng(1)
     y = (rng.random(2000) < 0.7).astype(float)
     a, b = (y[:, None] * 2 + rng.normal(size=(2000, 3)) for _ in range(2))
     few = slice(0, 120)
-    model = quality.cotrain((a[few], b[few]), y[few], (a[120:1500], b[120:1500]))
+    model = quality.cotrain((a[few], b[few]), y[few], quality.from_arrays(a[120:1500], b[120:1500], b[120:1500]), 138)
     p = model.scores(a[1500:], b[1500:])
     assert ((p[:, 0] >= 0.5) == y[1500:]).mean() > 0.93
     assert abs(p[:, 1].mean() - y[1500:].mean()) < 0.1  # calibrated
