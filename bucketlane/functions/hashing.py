@@ -115,6 +115,23 @@ def _packed_long(n: Column) -> Column:
     return F.unhex(form.otherwise(F.concat(F.lit("D3"), _hex(n, 8))))
 
 
+def double_bits(d: Column) -> Column:
+    """The IEEE 754 bits of a double as a bigint. Scaling by powers of two is exact, so sign, exponent and fraction come apart
+    without loss; the logarithm may be off by one near powers of two and is mended."""
+    x = F.abs(d)
+    small = x < float.fromhex("0x1p-1022")  # subnormal: no leading one
+    guess = F.floor(F.log2(x)).cast("int")
+    scale = lambda e: x * F.pow(F.lit(2.0), -F.floor(e / 2)) * F.pow(F.lit(2.0), -(e - F.floor(e / 2)))
+    e = F.when(scale(guess) >= 2, guess + 1).when(scale(guess) < 1, guess - 1).otherwise(guess)
+    fraction = ((scale(e) - 1) * float(1 << 52)).cast("bigint")
+    normal = F.shiftleft((e + 1023).cast("bigint"), 52) + fraction
+    under = (x * float.fromhex("0x1p537") * float.fromhex("0x1p537")).cast("bigint")
+    inf = F.lit(0x7FF << 52).cast("bigint")
+    bits = F.when(F.isnan(d), F.lit(0x7FF8 << 48).cast("bigint")).when(x == float("inf"), inf).when(x == 0, F.lit(0).cast("bigint")).when(small, under).otherwise(normal)
+    negative = (d < 0) | ((d == 0) & (d.cast("string") == "-0.0"))
+    return F.when(negative, bits.bitwiseOR(F.lit(-(1 << 63)).cast("bigint"))).otherwise(bits)
+
+
 def _packed(c: Column, kind: T.DataType | None) -> Column:
     if kind is None or isinstance(kind, (T.StringType, T.BinaryType)):
         return c.cast("binary")
@@ -125,10 +142,15 @@ def _packed(c: Column, kind: T.DataType | None) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
         d = c.cast("double")
         whole = (d == F.floor(d)) & (F.abs(d) < float(1 << 63))
-        return F.when(whole, _packed_long(d.cast("bigint"))).otherwise(F.raise_error(F.lit("fractional keys can't be packed in a column; hash them with packed_of")).cast("binary"))
+        return F.when(whole, _packed_long(d.cast("bigint"))).otherwise(F.unhex(F.concat(F.lit("CB"), _hex(double_bits(d), 8))))
     raise TypeError(f"keys of type {kind} have no packed form")
 
 
+def key_parts(keys: list) -> list[Column]:
+    """The columns of a sharding key, by name or as they are."""
+    return [F.col(k) if isinstance(k, str) else k for k in keys]
+
+
 def _parts(form, columns: tuple[Column, ...], kinds) -> Column:
     """Bytes of the parts up to the first null; null if the first part is null."""
     parts = [form(c, k) for c, k in zip(columns, kinds)]
@@ -147,13 +169,13 @@ def _kinds(columns, schema: T.StructType | None, names) -> list:
 
 def bucket_id_strcrc32(*keys, bucket_count: int = BUCKET_COUNT, schema: T.StructType | None = None) -> Column:
     """Bucket id, 1 to bucket_count, of the text of the keys (columns or names). schema tells doubles from integers."""
-    columns = tuple(F.col(k) if isinstance(k, str) else k for k in keys)
+    columns = tuple(key_parts(list(keys)))
     return crc32c(_parts(_text, columns, _kinds(columns, schema, keys))) % bucket_count + 1
 
 
 def bucket_id_mpcrc32(*keys, bucket_count: int = BUCKET_COUNT, schema: T.StructType | None = None) -> Column:
     """Bucket id of the packed keys. Without schema, keys count as strings."""
-    columns = tuple(F.col(k) if isinstance(k, str) else k for k in keys)
+    columns = tuple(key_parts(list(keys)))
     return crc32c(_parts(_packed, columns, _kinds(columns, schema, keys))) % bucket_count + 1
 
 

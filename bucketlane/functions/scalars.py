@@ -53,6 +53,16 @@ def map_minus(left: Column, right: Column) -> Column:
     return F.map_filter(left, lambda k, v: ~F.coalesce(F.try_element_at(right, k).eqNullSafe(v), F.lit(False)))
 
 
+def copied(m: Column) -> Column:
+    """A map with the entries of m; null for null."""
+    return F.map_from_entries(F.map_entries(m))
+
+
+def extended(left: Column, right: Column) -> Column:
+    """left with the items of right behind its own."""
+    return F.concat(left, right)
+
+
 def is_numeric_table(keys: Column) -> Column:
     """Whether the first key of an array of string keys is a number (an empty table is not)."""
     return F.coalesce(F.try_element_at(keys, F.lit(1)).rlike(r"^-?\d+(\.\d+)?$"), F.lit(False))

@@ -115,6 +115,32 @@ def waves(moves: DataFrame, workers: int = 1, max_receiving: int = MAX_RECEIVING
     return moves.withColumn("batch", F.ceil(F.col("seq") / F.lit(workers))).withColumn("wave", F.ceil(F.row_number().over(arrive) / F.lit(max_receiving)))
 
 
+def corrected(plan: DataFrame, log: DataFrame) -> DataFrame:
+    """(src, dst, left, sent, throttled, finished) of routes (src, dst, count) after a log (src, dst, event): `pop` takes a
+    bucket off a route, `put` gives one back, `sent` tells that one has arrived, `skip` drops the route's rest and `throttle`
+    warns of a busy destination. A route is finished once all its buckets have arrived."""
+    n = lambda e: F.count_if(F.col("event") == e)
+    told = log.groupBy("src", "dst").agg((n("pop") - n("put")).alias("taken"), n("sent").alias("sent"), (n("throttle") > 0).alias("throttled"), (n("skip") > 0).alias("skipped"))
+    rows = plan.join(told, ["src", "dst"], "left").fillna(0, ["taken", "sent"]).fillna(False, ["throttled", "skipped"])
+    left = F.when(F.col("skipped"), F.lit(0)).otherwise(F.greatest(F.col("count") - F.col("taken"), F.lit(0)))
+    return rows.select("src", "dst", left.cast("long").alias("left"), "sent", "throttled", (F.col("sent") >= F.col("count")).alias("finished"))
+
+
+def locked(lock: Column) -> Column:
+    """Whether a shard takes no part in rebalancing."""
+    return F.coalesce(lock.cast("boolean"), F.lit(False))
+
+
+def first_of(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows: a heap in each task, then one of their heads."""
+    return rows.orderBy(*order).limit(k)
+
+
+def handoffs(moves: DataFrame) -> DataFrame:
+    """(src, batch, prepared, first, last): what the worker that prepares a batch of moves (src, batch, bucket_id) hands on."""
+    return moves.groupBy("src", "batch").agg(F.count(F.lit(1)).alias("prepared"), F.min("bucket_id").alias("first"), F.max("bucket_id").alias("last"))
+
+
 def without(plan: DataFrame, failed: DataFrame) -> DataFrame:
     """Routes without the destinations that failed; dispense them anew."""
     return plan.join(failed.select("src", "dst"), ["src", "dst"], "left_anti")
@@ -140,7 +166,7 @@ def states(buckets: DataFrame, shards: DataFrame, bucket_count: int | None = Non
         if told[1] != bucket_count:
             raise BucketError("NOT_BOOTSTRAPPED", known=told[1], total=bucket_count)
     out = shards.join(counts.select("rs_id", "bucket_count", "pinned"), "rs_id", "left").fillna(0, ["bucket_count", "pinned"])
-    return out.where(~F.coalesce("lock", F.lit(False))) if "lock" in shards.columns else out
+    return out.where(~locked(F.col("lock"))) if "lock" in shards.columns else out
 
 
 def plan(buckets: DataFrame, shards: DataFrame, threshold: float = DISBALANCE_THRESHOLD, workers: int = 1, max_receiving: int = MAX_RECEIVING, bucket_count: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bucketlane.functions import status as S
+from bucketlane.operators import calls
 from bucketlane.sources.model import CHUNK, BucketError, generation
 
 
@@ -47,6 +48,97 @@ def receive(data: DataFrame, chunk: DataFrame, key: list[str]) -> DataFrame:
     return data.unionByName(chunk)
 
 
+def decode(raw: DataFrame, schema: str, column: str = "row") -> DataFrame:
+    """raw (space, row as JSON) as typed columns of `schema` plus `error`, null where the row has this form. Nothing raises, so
+    one bad row doesn't lose the rest of a chunk."""
+    got = raw.withColumn("__r", F.from_json(column, f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    names = [f for f in got.schema["__r"].dataType.fieldNames() if f != "__bad"]
+    bad = F.col("__r").isNull() | F.col("__r.__bad").isNotNull()
+    return got.select("space", *(F.col(f"__r.{n}").alias(n) for n in names), F.when(bad, "BUCKET_RECV_DATA_ERROR").alias("error"))
+
+
+def receivable(buckets: DataFrame, incoming: DataFrame, max_receiving: int) -> DataFrame:
+    """incoming (id, source, rs_id, seq) plus error: BUCKET_ALREADY_EXISTS where the shard has the bucket, and
+    TOO_MANY_RECEIVING beyond its quota, those that receive already included; null where the first chunk is taken."""
+    there = buckets.select("id", "rs_id", F.lit(True).alias("__there"))
+    busy = buckets.where(F.col("status") == S.RECEIVING).groupBy("rs_id").agg(F.count(F.lit(1)).alias("__busy"))
+    rows = incoming.join(there, ["id", "rs_id"], "left").join(F.broadcast(busy), "rs_id", "left")  # a row a shard
+    new = F.sum(F.col("__there").isNull().cast("int")).over(Window.partitionBy("rs_id").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__n", new + F.coalesce("__busy", F.lit(0)))
+    error = F.when(F.col("__there"), "BUCKET_ALREADY_EXISTS").when(F.col("__n") > max_receiving, "TOO_MANY_RECEIVING")
+    return rows.withColumn("error", error).drop("__there", "__busy", "__n")
+
+
+def begin_receive(buckets: DataFrame, incoming: DataFrame, max_receiving: int) -> DataFrame:
+    """buckets with a receiving row for each bucket that can be taken."""
+    taken = receivable(buckets, incoming, max_receiving).where("error is null")
+    return buckets.unionByName(taken.select("id", F.lit(S.RECEIVING).alias("status"), F.col("source").alias("destination"), F.lit(None).cast("map<string,bigint>").alias("opts"), "rs_id"))
+
+
+def receive_bucket(buckets: DataFrame, data: dict[str, DataFrame], rows: dict[str, DataFrame], keys: dict[str, list[str]], bucket_id: int, source: str, rs_id: str, max_receiving: int, is_last: bool = True, size: int = CHUNK) -> tuple[DataFrame, dict[str, DataFrame], list[tuple[str, int, list[str]]]]:
+    """(buckets, data, events) after a shard received rows of one bucket, by table. The first rows make a receiving row, within
+    the quota; all rows are checked before any is added, in chunks of `size` as events tell; the last ones make it active."""
+    mine = (F.col("id") == bucket_id) & (F.col("rs_id") == rs_id)
+    now = buckets.where(mine).select("status").first()
+    if now is None:
+        first = buckets.sparkSession.createDataFrame([(bucket_id, source, rs_id, 1)], "id long, source string, rs_id string, seq long")
+        error = receivable(buckets, first, max_receiving).first().error
+        if error:
+            raise BucketError(error, bucket_id=bucket_id)
+        buckets = begin_receive(buckets, first, max_receiving)
+    elif now.status != S.RECEIVING:
+        raise BucketError("BUCKET_ALREADY_EXISTS", bucket_id=bucket_id)
+    out = dict(data)
+    for name, chunk in rows.items():
+        try:
+            out[name] = receive(data[name], chunk, keys[name])
+        except BucketError:
+            raise BucketError("BUCKET_RECV_DATA_ERROR", bucket_id=bucket_id, space=name, tuple="", reason="a key exists already") from None
+    count = max([chunk.count() for chunk in rows.values()], default=0)
+    events = [("bucket_data_recv_txn", bucket_id, sorted(rows))] * max(1, -(-count // size))
+    if is_last:
+        status = F.when(mine, S.ACTIVE).otherwise(F.col("status"))
+        buckets = buckets.withColumn("destination", F.when(~mine, F.col("destination"))).withColumn("status", status).select(*buckets.columns)
+    return buckets, out, events
+
+
+def events(before: DataFrame, after: DataFrame, spaces: list[str]) -> DataFrame:
+    """(event, id, rs_id, spaces): what subscribers hear of a change of the bucket table: data of new receiving rows comes, data
+    of garbage rows that are gone goes."""
+    was, now = before.select("id", "rs_id", F.col("status").alias("old")), after.select("id", "rs_id", F.col("status").alias("new"))
+    both = was.join(now, ["id", "rs_id"], "full")
+    event = F.when(F.col("old").isNull() & (F.col("new") == S.RECEIVING), "bucket_data_recv_txn").when((F.col("old") == S.GARBAGE) & F.col("new").isNull(), "bucket_data_gc_txn")
+    return both.withColumn("event", event).where("event is not null").select("event", "id", "rs_id", F.lit(",".join(sorted(spaces))).alias("spaces"))
+
+
+def dml(buckets: DataFrame, log: DataFrame, writers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(buckets, refused) after a log (seq, rs_id, op, id, status) of raw operations: insert, replace, update and delete, the
+    last one of a bucket counts. Shards that can't write (writers: rs_id, error) refuse theirs: (seq, error)."""
+    rows = log.join(F.broadcast(writers.select("rs_id", F.col("error").alias("__e"))), "rs_id", "left")  # a row a shard
+    refused = rows.where("__e is not null").select("seq", F.col("__e").alias("error"))
+    last = rows.where("__e is null").groupBy("id", "rs_id").agg(F.max_by(F.struct("op", "status"), "seq").alias("__l"))
+    both = buckets.join(last, ["id", "rs_id"], "full").where("__l is null or __l.op != 'delete'").where("status is not null or __l.op != 'update'")
+    status = F.when(F.col("__l").isNotNull(), F.col("__l.status")).otherwise(F.col("status"))
+    return both.withColumn("status", status).select(*buckets.columns), refused
+
+
+def versions(log: DataFrame, order: list[str]) -> DataFrame:
+    """log (bucket_id, status, ...) plus `version` of the bucket table after each change: one more for each row that changes
+    its bucket's status. Running counts are added up from blocks, as in calls.numbered."""
+    before = F.lag("status").over(Window.partitionBy("bucket_id").orderBy(*order))
+    rows = log.withColumn("changed", ~before.eqNullSafe(F.col("status")))
+    n = calls.numbered(rows.where("changed").withColumn("__all", F.lit(0)), ["__all"], order).select(*order, F.col("n").alias("version"))
+    return rows.join(n, order, "left").withColumn("version", F.when(F.col("changed"), F.col("version")))
+
+
+def locks(buckets: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, rs_id, status, ro, rw, ro_lock, rw_lock): counters of references as a commit of the bucket rows leaves them: a
+    status that can't be read or written locks its side, and garbage forgets counters."""
+    rows = buckets.join(refs.select("id", "ro", "rw"), "id", "left").fillna(0, ["ro", "rw"])
+    kept = lambda c: F.when(F.col("status") == S.GARBAGE, F.lit(0)).otherwise(F.col(c)).alias(c)
+    return rows.select("id", "rs_id", "status", kept("ro"), kept("rw"), (~S.is_readable(F.col("status"))).alias("ro_lock"), (~S.is_writable(F.col("status"))).alias("rw_lock"))
+
+
 def pin(buckets: DataFrame, ids: DataFrame, pinned: bool = True) -> DataFrame:
     """active becomes pinned, or the other way round; others stay."""
     old, new = (S.ACTIVE, S.PINNED) if pinned else (S.PINNED, S.ACTIVE)

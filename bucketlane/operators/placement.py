@@ -20,8 +20,10 @@ def ranges(shards: DataFrame, bucket_count: int) -> DataFrame:
     return out.select("rs_id", "etalon", (run - F.col("etalon") + 1).alias("first"), run.alias("last"))
 
 
-def force_create(spark: SparkSession, first: int, count: int, rs_id: str) -> DataFrame:
-    """Active buckets first to first + count - 1."""
+def force_create(spark: SparkSession, first: int, count: int, rs_id: str, existing: DataFrame | None = None) -> DataFrame:
+    """Active buckets first to first + count - 1; raises BUCKET_ALREADY_EXISTS if a shard has one of them."""
+    if existing is not None and (taken := existing.where(F.col("id").between(first, first + count - 1)).agg(F.min("id")).first()[0]) is not None:
+        raise BucketError("BUCKET_ALREADY_EXISTS", bucket_id=taken)
     rows = spark.range(first, first + count).select("id", F.lit(S.ACTIVE).alias("status"), F.lit(None).cast("string").alias("destination"), F.lit(None).cast("map<string,bigint>").alias("opts"), F.lit(rs_id).alias("rs_id"))
     return rows.select(*BUCKETS.fieldNames())
 
@@ -149,6 +151,20 @@ def has(data: DataFrame, column: str, key) -> bool:
     return data.where(F.col(column) == key).limit(1).count() > 0
 
 
+def counts(buckets: DataFrame) -> DataFrame:
+    """(rs_id, buckets, writable): how many rows each shard has, and how many of them can be written."""
+    return buckets.groupBy("rs_id").agg(F.count(F.lit(1)).alias("buckets"), F.count_if(S.is_writable(F.col("status"))).alias("writable"))
+
+
+def union_of(shards: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all shards' tables, by name; the columns of any."""
+    tables = [shards[k] for k in sorted(shards)]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def all_writable(buckets: DataFrame) -> DataFrame:
     """(rs_id, all_rw): whether each bucket of a shard can be written."""
     return buckets.groupBy("rs_id").agg(F.bool_and(S.is_writable(F.col("status"))).alias("all_rw"))
@@ -167,10 +183,42 @@ def inconsistent(data: DataFrame, buckets: DataFrame, bucket: str = "bucket_id")
     return data.join(buckets.select(F.col("id").alias(bucket)).distinct(), bucket, "left_anti")
 
 
+def route_changes(log: DataFrame, order: list[str]) -> DataFrame:
+    """(rs_id, delta, ...order) of a log (bucket_id, rs_id, ...) that sets routes, or resets them (null rs_id): one less for
+    the shard before, one more for the new one; nothing if they agree."""
+    before = F.lag("rs_id").over(Window.partitionBy("bucket_id").orderBy(*order))
+    rows = log.withColumn("__b", before).where(~F.col("__b").eqNullSafe(F.col("rs_id")))
+    minus = rows.where("__b is not null").select(F.col("__b").alias("rs_id"), F.lit(-1).alias("delta"), *order)
+    return minus.unionByName(rows.where("rs_id is not null").select("rs_id", F.lit(1).alias("delta"), *order))
+
+
 def route_counts(changes: DataFrame) -> DataFrame:
-    """(rs_id, known) from a log of route changes (bucket_id, rs_id, delta): signed sums."""
+    """(rs_id, known) from route changes (rs_id, delta, ...): signed sums."""
     return changes.groupBy("rs_id").agg(F.sum("delta").alias("known"))
 
 
+def bucket_stat(ids: DataFrame, buckets: DataFrame, moving: DataFrame) -> DataFrame:
+    """(id, status, destination, generation, is_transfering, error) of each id: its row, whether it's in flight (moving: id),
+    and why it can't be read."""
+    rows = ids.select("id").distinct().join(buckets.withColumn("generation", generation()), "id", "left").join(moving.select("id", F.lit(True).alias("__m")).distinct(), "id", "left")
+    error = S.access(F.lit("read"), F.col("status"), F.lit(True), F.col("destination"))["code"]
+    return rows.select("id", "status", "destination", "generation", F.coalesce("__m", F.lit(False)).alias("is_transfering"), error.alias("error"))
+
+
+def exist(keys: DataFrame, data: DataFrame, column: str) -> DataFrame:
+    """keys (one column of this name) plus `found`: whether data has any row with it."""
+    return keys.join(data.select(column, F.lit(True).alias("found")).distinct(), column, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def discovered(buckets: DataFrame, bucket_count: int, limit: int = CHUNK) -> DataFrame:
+    """(bucket_id, rs_id) as pages of `limit` ids tell them to a router, one after the other."""
+    pages = [buckets.where(F.col("id").between(first, first + limit - 1)) for first in range(1, bucket_count + 1, limit)]
+    out = None
+    for page in pages:  # bounded by the number of pages
+        rows = page.where(S.is_writable(F.col("status"))).select(F.col("id").alias("bucket_id"), "rs_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def severity(flag: Column, level: int) -> Column:
     return F.when(flag, F.lit(level)).otherwise(F.lit(0))

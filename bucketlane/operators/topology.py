@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bucketlane.functions import status as S
 from bucketlane.functions.scalars import vclock_compare
+from bucketlane.operators import calls
 from bucketlane.sources.model import (
     FAILOVER_DOWN_FAILS, FAILOVER_DOWN_TIMEOUT, GREEN, ORANGE, RED, REPLICA_BACKOFF, REPLICA_LAG_LIMIT, REPLICATION_FAIL, REPLICATION_HARD, REPLICATION_SOFT, YELLOW, alert,
 )
@@ -47,8 +48,7 @@ def balanced(requests: DataFrame, prioritized: DataFrame, order: list[str], pref
         rows = rows.withColumn("__m", own).where(~F.col("is_master") | (F.col("__m") == 1))
     # a shard has few replicas
     lists = rows.groupBy("rs_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "replica_id"))), lambda s: s["replica_id"]).alias("__all"))
-    n = F.row_number().over(Window.partitionBy("rs_id").orderBy(*order))
-    out = requests.withColumn("n", n).join(F.broadcast(lists), "rs_id", "left")
+    out = calls.numbered(requests, ["rs_id"], order).join(F.broadcast(lists), "rs_id", "left")
     return out.withColumn("replica_id", F.try_element_at("__all", ((F.col("n") - 1) % F.size("__all") + 1).cast("int"))).drop("__all")
 
 
@@ -140,6 +140,17 @@ def recovery_alerts(info: DataFrame) -> DataFrame:
     return rows.select("rs_id", F.concat_ws(": ", "a.name", "a.message").alias("message"))
 
 
+def outdated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old replicas (replica_id, uri, ...) plus `outdated`: whether new ones lack them; calls to those give OBJECT_IS_OUTDATED."""
+    held = new.select("replica_id", "uri", F.lit(False).alias("__o"))
+    return old.join(held, ["replica_id", "uri"], "left").withColumn("outdated", F.coalesce("__o", F.lit(True))).drop("__o")
+
+
+def zone_rows(weights: dict) -> list[tuple[str, str, float]]:
+    """(zone, other zone, weight) of configured zone weights, each zone's own included."""
+    return sorted({(str(a), str(b), float(w)) for a, row in weights.items() for b, w in {**row, a: 0}.items()})
+
+
 def rebind(new: DataFrame, old: DataFrame) -> DataFrame:
     """New replicas (replica_id, uri, ...) with the health counters (fails, oks, timeout) of the old ones of equal id and
     address; replicas that are gone are outdated and not returned."""
@@ -148,6 +159,52 @@ def rebind(new: DataFrame, old: DataFrame) -> DataFrame:
     return out.fillna(0, ["fails", "oks"]).fillna(0.5, ["timeout"])
 
 
+def master_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(replica_id, kind) of replicas that became masters (enable) or are no longer (disable)."""
+    was, now = old.where("is_master").select("replica_id"), new.where("is_master").select("replica_id")
+    return now.join(was, "replica_id", "left_anti").withColumn("kind", F.lit("enable")).unionByName(was.join(now, "replica_id", "left_anti").withColumn("kind", F.lit("disable")))
+
+
+def may_write(masters: DataFrame, clocks: DataFrame) -> DataFrame:
+    """(rs_id, replica_id, error) for replicas (rs_id, replica_id, is_master): NON_MASTER, or MASTER_NOT_SYNCED while the
+    clock (replica_id, vclock, peer) of any peer is ahead of its own, else null."""
+    ahead = clocks.groupBy("replica_id").agg(F.bool_or(F.coalesce(vclock_compare(F.col("peer"), F.col("vclock")) != -1, F.lit(True)) & (F.coalesce(vclock_compare(F.col("peer"), F.col("vclock")), F.lit(1)) != 0)).alias("behind"))
+    error = F.when(~F.col("is_master"), "NON_MASTER").when(F.coalesce("behind", F.lit(False)), "MASTER_NOT_SYNCED")
+    return masters.join(ahead, "replica_id", "left").select("rs_id", "replica_id", error.alias("error"))
+
+
+def storages(replicasets: DataFrame, replicas: DataFrame) -> DataFrame:
+    """What each instance is configured as: (replica_id, rs_id, role, read_only, locked, collects_garbage, recovers). Masters of
+    shards that find theirs themselves (master_mode auto) are told by the database, not by the configuration."""
+    rows = replicas.join(F.broadcast(replicasets.select("rs_id", "lock", "master_mode")), "rs_id")  # a row a shard
+    own = F.coalesce(F.col("is_master"), F.lit(False))
+    role = F.when(F.coalesce(F.col("master_mode") == "auto", F.lit(False)), "auto").when(own, "master").otherwise("replica")
+    return rows.withColumn("role", role).select(
+        "replica_id", "rs_id", "role", (F.col("role") == "replica").alias("read_only"), F.coalesce("lock", F.lit(False)).alias("locked"),
+        (F.col("role") == "master").alias("collects_garbage"), (F.col("role") == "master").alias("recovers"),
+    )
+
+
+def services(modes: dict[str, str], is_master: bool, is_rebalancer: bool) -> dict[str, bool]:
+    """Which background services run: by `discovery` (on, off, once), `rebalancer` (auto, manual, off) and the instance's role."""
+    return {
+        "discovery": modes.get("discovery", "on") != "off", "failover": True, "master_search": True, "recovery": is_master, "gc": is_master, "master_sync": is_master,
+        "rebalancer": is_rebalancer and modes.get("rebalancer", "auto") != "off", "rebalancer_applier": is_master,
+    }
+
+
+def router_alerts(info: DataFrame, bucket_count: int) -> DataFrame:
+    """(rs_id, name, message) alerts of `router_info`; rs_id is null for those of the whole router."""
+    whole = F.col("rs_id").isNull()
+    told = F.array(
+        F.when(~whole & (F.col("unreachable") > 0), alert("UNREACHABLE_REPLICASET", F.concat(F.lit("There is no active replicas in replicaset "), F.col("rs_id")))),
+        F.when(~whole & (F.col("available_ro") > 0), alert("UNREACHABLE_MASTER", F.concat(F.lit("Master of replicaset "), F.col("rs_id"), F.lit(" is unreachable")))),
+        F.when(whole & (F.col("unknown") > 0), alert("UNKNOWN_BUCKETS", F.concat(F.col("unknown").cast("string"), F.lit(" buckets are not discovered")))),
+        F.when(whole & (F.col("unknown") < 0), alert("INVALID_CFG", F.concat(F.lit("more buckets are known than "), F.lit(str(bucket_count))))),
+    )
+    return info.select("rs_id", F.explode(F.filter(told, lambda a: a.isNotNull())).alias("a")).select("rs_id", "a.name", "a.message")
+
+
 def load_report(log: DataFrame) -> DataFrame:
     """One row: operations, errors, mean latency and operations a second of a log (started, ended, ok)."""
     span = F.max("ended") - F.min("started")

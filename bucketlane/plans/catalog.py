@@ -194,8 +194,11 @@ def map_reduce_python(spark, d) -> DataFrame:
             n, total = n + len(f), total + int(f["c_custkey"].sum())
         yield pd.DataFrame({"rs_id": [rs], "n": [n], "total": [total]})
 
+    def merge(parts):
+        return parts.groupby("rs_id", as_index=False).sum()
+
     data = demo.customers(spark, d).select("bucket_id", "c_custkey")
-    return mapreduce.apply(data, demo.fresh(spark, d), COUNT, one, "rs_id string, n long, total long")
+    return mapreduce.apply(data, demo.fresh(spark, d), COUNT, one, "rs_id string, n long, total long", parts=4, merge=merge)
 
 
 @query(f"SELECT c_custkey, c.bucket_id, count(*) AS n, {_CENTS.format('o_totalprice')} FROM cust c JOIN ord o ON o.bucket_id = c.bucket_id AND o_custkey = c_custkey GROUP BY ALL")
@@ -457,7 +460,15 @@ def log_ratelimit(spark, d) -> DataFrame:
     return state.ratelimit(e, 3600).select("key", "event_id", "passes")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS sid, event_id, epoch(ts) AS now, event_id % 4 + 1 AS r, CASE WHEN event_type IN ('signup', 'view') THEN 'add' WHEN event_type = 'click' THEN 'use' WHEN event_type = 'error' THEN 'kill' ELSE 'del' END AS op,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  f AS (SELECT DISTINCT sid, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([NULL, NULL, NULL, NULL] AS DOUBLE[]) AS d, [0, 0, 0, 0] AS u, false AS dead, CAST(NULL AS VARCHAR) AS error FROM e
+    UNION ALL SELECT sid, n, event_id, CASE WHEN dead2 AND list_sum(u2) = 0 THEN CAST([NULL, NULL, NULL, NULL] AS DOUBLE[]) ELSE d2 END, u2, dead2, error
+    FROM (SELECT sid, n, event_id, error, dead OR op = 'kill' AS dead2, list_transform([1, 2, 3, 4], lambda k: CASE WHEN k = r AND op = 'add' AND error IS NULL THEN now + 40000 WHEN k = r AND op = 'del' THEN NULL ELSE d1[k] END) AS d2,
+        list_transform([1, 2, 3, 4], lambda k: CASE WHEN k = r AND op = 'use' AND error IS NULL THEN 1 WHEN k = r AND op IN ('add', 'del') AND error IS NULL THEN 0 WHEN d1[k] IS NULL THEN 0 ELSE u[k] END) AS u2
+      FROM (SELECT *, CASE WHEN op = 'add' AND (dead OR d1[r] IS NOT NULL) THEN 'STORAGE_REF_ADD' WHEN op = 'use' AND (d1[r] IS NULL OR u[r] = 1) THEN 'STORAGE_REF_USE' WHEN op = 'del' AND d1[r] IS NULL THEN 'STORAGE_REF_DEL' END AS error
+        FROM (SELECT e.*, f.u, f.dead, list_transform([1, 2, 3, 4], lambda k: CASE WHEN f.u[k] = 0 AND f.d[k] <= e.now THEN NULL ELSE f.d[k] END) AS d1 FROM f JOIN e ON e.sid = f.sid AND e.n = f.n + 1))))
+  SELECT sid, event_id, len(list_filter(d, lambda x: x IS NOT NULL)) AS held, error FROM f WHERE n > 0""")
 def ref_deadlines(spark, d) -> DataFrame:
     t = F.col("event_type")
     op = F.when(t.isin("signup", "view"), "add").when(t == "click", "use").when(t == "error", "kill").otherwise("del")
@@ -465,19 +476,37 @@ def ref_deadlines(spark, d) -> DataFrame:
     return state.ref_deadlines(e)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 5 AS shard, event_id, CASE WHEN event_type IN ('signup', 'view') THEN 'ref' WHEN event_type = 'click' THEN 'move' WHEN event_type = 'error' THEN 'end_move' ELSE 'end_ref' END AS op, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events),
+  f AS (SELECT DISTINCT shard, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS by_event, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS op, 0 AS rc, 0 AS mc, 0 AS rs, 0 AS ms, CAST([] AS BIGINT[]) AS rq, CAST([] AS BIGINT[]) AS mq FROM e
+    UNION ALL SELECT shard, CASE WHEN pr OR pm THEN n ELSE n + 1 END, k + 1, CASE WHEN pr OR pm THEN by_event ELSE ev END, CASE WHEN pr THEN rq[1] WHEN pm THEN mq[1] WHEN sr OR sm THEN ev END, CASE WHEN pr OR sr THEN 'ref' WHEN pm OR sm THEN 'move' END,
+      CASE WHEN pr OR sr THEN rc + 1 WHEN NOT pm AND eop = 'end_ref' THEN greatest(rc - 1, 0) ELSE rc END, CASE WHEN pm OR sm THEN mc + 1 WHEN NOT pr AND eop = 'end_move' THEN greatest(mc - 1, 0) ELSE mc END,
+      CASE WHEN pr OR sr THEN rs + 1 WHEN pm OR sm THEN 0 ELSE rs END, CASE WHEN pm OR sm THEN ms + 1 WHEN pr OR sr THEN 0 ELSE ms END,
+      CASE WHEN pr THEN rq[2:] WHEN NOT pm AND eop = 'ref' AND NOT sr THEN list_append(rq, ev) ELSE rq END, CASE WHEN pm THEN mq[2:] WHEN NOT pr AND eop = 'move' AND NOT sm THEN list_append(mq, ev) ELSE mq END
+    FROM (SELECT *, NOT pr AND NOT pm AND coalesce(eop = 'ref', false) AND may_r AS sr, NOT pr AND NOT pm AND coalesce(eop = 'move', false) AND may_m AS sm
+      FROM (SELECT *, len(rq) > 0 AND may_r AS pr, NOT (len(rq) > 0 AND may_r) AND len(mq) > 0 AND may_m AS pm
+        FROM (SELECT f.*, e.event_id AS ev, e.op AS eop, f.mc = 0 AND NOT (len(f.mq) > 0 AND f.rs >= 3) AS may_r, f.rc = 0 AND NOT (len(f.rq) > 0 AND f.ms >= 1) AS may_m FROM f LEFT JOIN e ON e.shard = f.shard AND e.n = f.n + 1))
+      WHERE pr OR pm OR ev IS NOT NULL))
+  SELECT shard, event_id, by_event AS started_by, op FROM f WHERE op IS NOT NULL""")
 def sched_fairness(spark, d) -> DataFrame:
     t = F.col("event_type")
     op = F.when(t.isin("signup", "view"), "ref").when(t == "click", "move").when(t == "error", "end_move").otherwise("end_ref")
     return state.schedule(demo.table(spark, d, "events").select((F.col("user_id") % 5).alias("shard"), "event_id", op.alias("op")), 3, 1)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 25 AS replica_id, event_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) AS n FROM events),
+  f AS (SELECT DISTINCT replica_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0.5 AS DOUBLE) AS t, 0 AS fails, 0 AS oks FROM e
+    UNION ALL SELECT e.replica_id, e.n, e.event_id, CASE WHEN ok THEN CASE WHEN f.oks >= 9 THEN 0.5 ELSE t END WHEN f.fails >= 1 AND t * 2 <= 64 THEN t * 2 ELSE t END, CASE WHEN ok THEN 0 ELSE f.fails + 1 END,
+      CASE WHEN NOT ok THEN 0 WHEN f.oks >= 9 THEN 1 ELSE f.oks + 1 END FROM f JOIN e ON e.replica_id = f.replica_id AND e.n = f.n + 1)
+  SELECT replica_id, event_id, t AS timeout FROM f WHERE n > 0""")
 def adaptive_timeout(spark, d) -> DataFrame:
     return state.adaptive_timeouts(demo.table(spark, d, "events").select((F.col("user_id") % 25).alias("replica_id"), "event_id", (F.col("event_type") != "error").alias("ok")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS bucket_id, event_id, epoch(ts) AS now, CASE WHEN event_type = 'purchase' THEN 'rs' || (user_id % 3) END AS new, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS n FROM events),
+  f AS (SELECT DISTINCT bucket_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS dst, CAST(0 AS DOUBLE) AS since, false AS told FROM e
+    UNION ALL SELECT bucket_id, n, event_id, coalesce(new, cur), CASE WHEN new IS NOT NULL AND new IS DISTINCT FROM cur THEN now ELSE since END, new IS NULL
+    FROM (SELECT e.*, f.since, CASE WHEN floor(e.now / 86400) < floor(f.since / 86400) + 2 THEN f.dst END AS cur FROM f JOIN e ON e.bucket_id = f.bucket_id AND e.n = f.n + 1))
+  SELECT bucket_id, event_id, dst FROM f WHERE told""")
 def redirect_ttl(spark, d) -> DataFrame:
     dst = F.when(F.col("event_type") == "purchase", F.concat(F.lit("rs"), (F.col("user_id") % 3).cast("string")))
     return state.redirects(demo.table(spark, d, "events").select((F.col("user_id") % 50).alias("bucket_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"), dst.alias("dst")), 86400)

@@ -71,12 +71,33 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 50).alias("bucket_id"), "ts", "event_id", status.alias("status"))
 
 
+def _known(bucket: F.Column) -> F.Column:
+    """Null keys are in bucket 0, which no shard has; so the id is never null, and no join tests (computes) it once more."""
+    return F.coalesce(bucket, F.lit(0).cast("bigint"))
+
+
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """buckets plus what their destinations have: active where they went, the other half of transfers."""
+    b = buckets(spark, sf_dir)
+    there = b.where("destination is not null")
+    status = F.when(F.col("status") == "sending", "receiving").when(F.col("status") == "receiving", "sending").otherwise("active")
+    dst = F.when(F.col("status").isin("sending", "receiving"), F.col("rs_id"))
+    return b.unionByName(there.select("id", status.alias("status"), dst.alias("destination"), "opts", F.col("destination").alias("rs_id")))
+
+
+def clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rs_id, replica_id, nk, vclock) of replicas."""
+    r = replicas(spark, sf_dir)
+    n = F.col("nk").cast("bigint")
+    return r.select("rs_id", "replica_id", "nk", "is_master", F.map_from_arrays(F.array(F.lit(1), F.lit(2)), F.array(n % 5, n % 3)).alias("vclock"))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").withColumn("bucket_id", bucket_id_strcrc32("o_custkey"))
+    return table(spark, sf_dir, "orders").withColumn("bucket_id", _known(bucket_id_strcrc32("o_custkey")))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").withColumn("bucket_id", bucket_id_strcrc32("c_custkey"))
+    return table(spark, sf_dir, "customer").withColumn("bucket_id", _known(bucket_id_strcrc32("c_custkey")))
 
 
 def crc_sql(key: str) -> str:
@@ -92,6 +113,8 @@ SQL = {
     "follow": "SELECT rs_id, coalesce(lead(rs_id) OVER (ORDER BY rs_id), first_value(rs_id) OVER (ORDER BY rs_id)) AS nxt FROM shards",
     "buckets": """SELECT id, f.rs_id, CASE id % 97 WHEN 0 THEN 'sending' WHEN 1 THEN 'receiving' WHEN 2 THEN 'sent' WHEN 3 THEN 'garbage' WHEN 4 THEN 'readonly' WHEN 5 THEN 'pinned' ELSE 'active' END AS status,
       CASE WHEN id % 97 < 4 THEN nxt END AS destination, id % 3 + 1 AS gen FROM fresh f JOIN follow w ON f.rs_id = w.rs_id""",
+    "moved": """SELECT id, rs_id, status, destination, gen FROM buckets UNION ALL SELECT id, destination, CASE status WHEN 'sending' THEN 'receiving' WHEN 'receiving' THEN 'sending' ELSE 'active' END,
+      CASE WHEN status IN ('sending', 'receiving') THEN rs_id END, gen FROM buckets WHERE destination IS NOT NULL""",
     "routes": "SELECT id AS bucket_id, rs_id FROM buckets WHERE status IN ('active', 'pinned', 'sending', 'readonly')",
     "replicas": """SELECT r_name AS rs_id, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS replica_id, n_nationkey AS nk, CAST(n_nationkey % 3 AS VARCHAR) AS zone,
       n_nationkey = min(n_nationkey) OVER (PARTITION BY r_name) AS is_master, 'user:pw@' || n_name || ':3301' AS uri FROM nation JOIN region ON n_regionkey = r_regionkey""",

@@ -108,6 +108,19 @@ class BucketError(Exception):
         return self.name in ("TIMEOUT", "TimedOut")
 
 
+def error_table(spark) -> DataFrame:
+    """(name, code, text) of all errors."""
+    return spark.createDataFrame([(n, c, t) for n, (c, t) in sorted(ERRORS.items())], "name string, code int, text string")
+
+
+def message(text: Column | str, **args: Column) -> Column:
+    """An error's text with its arguments filled in; those that aren't given are empty."""
+    out = F.col(text) if isinstance(text, str) else text
+    for k, v in args.items():
+        out = F.replace(out, F.lit(f"{{{k}}}"), F.coalesce(v, F.lit("")))
+    return F.regexp_replace(out, r"\{[a-z_]+\}", "")
+
+
 def alert(name: str, message: Column | str) -> Column:
     """struct<name, message>."""
     return F.struct(F.lit(name).alias("name"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
@@ -138,6 +151,15 @@ class Config:
         known = {f.name for f in fields(cls)}
         return cls(**{k: v for k, v in options.items() if k in known}), {k: v for k, v in options.items() if k not in known}
 
+    @classmethod
+    def problem(cls, options: dict) -> str | None:
+        """What is wrong with options, null if nothing is."""
+        try:
+            cls.from_dict(options)[0].check()
+        except ValueError as e:
+            return str(e)
+        return None
+
     def check(self, old: "Config | None" = None) -> "Config":
         def positive(name: str, zero: bool = False) -> None:
             v = getattr(self, name)

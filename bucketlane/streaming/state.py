@@ -26,12 +26,13 @@ def fold(df: DataFrame, key: str, order: list[str], step: Step, schema: str) ->
     def run(frames):
         import pandas as pd
 
-        now, state = object(), {}
+        now, state, first = None, {}, True
         for f in frames:
             out = []
             for row in f.to_dict("records"):
-                if row[key] != now:
-                    now, state = row[key], {}
+                this = None if pd.isna(row[key]) else row[key]  # nulls are one key
+                if first or this != now:
+                    now, state, first = this, {}, False
                 out += step(state, row)
             if out:
                 yield pd.DataFrame(out)
@@ -59,6 +60,23 @@ def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, schema: s
     return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def replayed(df: DataFrame, order: str, operator: Callable, triggers: int = 3, **options) -> DataFrame:
+    """What a stream operator gives for the rows of df, in order of a number, as `triggers` runs of one stream: each run
+    finds the next rows in a folder and the state that the last one left. All files are in the shared folder."""
+    import uuid
+
+    from bucketlane.sources import shared
+
+    spark, base = df.sparkSession, f"{shared.folder(df.sparkSession)}/replay-{uuid.uuid4().hex}"
+    cuts = df.agg(F.percentile_approx(order, [i / triggers for i in range(1, triggers)], 1000).alias("c")).first().c or []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        some = df if low is None else df.where(F.col(order) > low)
+        (some if high is None else some.where(F.col(order) <= high)).write.mode("append").parquet(f"{base}/in")
+        out = operator(spark.readStream.schema(df.schema).parquet(f"{base}/in"), streaming=True, **options)
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
 def ref_step(state: dict, row: dict) -> list[dict]:
     """A bucket's counters. row: bucket_id, event_id, op (ref or unref), mode (read or write), status. Writable buckets take
     both modes, readable ones reads alone; taking back what isn't held is an error."""

@@ -14,7 +14,7 @@ def engine(spark):
     shards = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "rs_id string, weight double")
     e = Engine(spark, Config(bucket_count=30), placement.bootstrap(shards, 30), shards)
     t = spark.range(100).select("id", hashing.bucket_id_strcrc32("id", bucket_count=30).alias("bucket_id"))
-    Engine.instances.pop("static")
+    e.close()
     assert e.register("t", t) and not e.register("plain", spark.range(3)) and e.sharded_tables() == ["t"]
     return e
 
