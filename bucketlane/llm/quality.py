@@ -6,8 +6,8 @@ model. In each round each view labels the unlabelled rows that it is surest of,
 shares among the labels tell, for the other view to learn from. A quarter of the labelled rows is kept out of this to
 calibrate each view (Platt scaling) and to weigh the calibrated views into one score.
 
-Features of all rows are made once and written to the shared folder while the model is fitted. Labelled are at most
-LABELLED rows, by least hash, a bounded sample. Unlabelled are all rows without a label: each round scores all of them and
+Features of all rows are made once and written to the shared folder while the model is fitted. Labelled are about
+LABELLED rows at most, a bounded sample by hash; rows of equal features and label count once. Unlabelled are all rows without a label: each round scores all of them and
 takes the surest ones, up to GIVEN for each view in all rounds (rows of equal features count once). Scoring covers all rows
 and whole texts.
 
@@ -296,7 +296,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", source: str =
         features(docs, labels, text, source, lang, n_chars, key, label).write.parquet(folder)
         made = spark.read.parquet(folder)
         pool = made.where("y is null")
-        known = made.where("y is not null").orderBy("print", "y").limit(LABELLED).collect()  # a bounded sample
+        told = made.where("y is not null").dropDuplicates(["print", "y"])
+        share = min(1.0, LABELLED / max(1, told.count()))
+        # a bounded sample: about LABELLED rows, in an order of their own
+        known = sorted(told.where(F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < share * (1 << 30)).collect(), key=lambda r: (r["print"], r.y))
         y = np.array([r.y for r in known])
         rows = _wide(pa.array([bytes(r.a) for r in known], pa.binary()), pa.array([bytes(r.m) for r in known], pa.binary()))
         return cotrain(rows, y, from_table(pool), min(GIVEN, pool.count() // 10))
