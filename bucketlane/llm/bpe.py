@@ -32,11 +32,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from bucketlane.llm.runtime import ship, spans, strings
+from bucketlane.llm.runtime import lean, ship, spans, strings
 
 #: Runs and pieces that a worker remembers, states of its machine, and bytes of text that are worked on at once.
-MOST_PIECES, MOST_STATES, CHUNK = 200_000, 250_000, 1 << 22
+MOST_PIECES, MOST_STATES, CHUNK = 120_000, 200_000, 1 << 22
 #: Bytes of a piece that runs in step with others; longer ones run alone. Bytes of text that are decoded at once.
 SHORT, DECODED = 64, 1 << 20
 #: A single blank between two other characters always separates two matches of the pattern.
@@ -188,7 +189,7 @@ class Transducer:
                 before, a = a, s[1]
             else:
                 fits = True
-        if len(self._fits) > 2 * MOST_STATES:
+        if len(self._fits) > MOST_STATES * 3 // 2:
             self._fits.clear()
         self._fits[key] = fits
         return fits
@@ -513,22 +514,26 @@ def _decoded(t: Transducer, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """All columns of df plus the token ids (array of int) of `text`; a column named like `ids` is replaced."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import ArrayType, IntegerType
-
     ship(df.sparkSession)
+    at, where = df.columns.index(text), df.columns.index(ids) if ids in df.columns else len(df.columns)
 
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def run(column: pa.Array) -> pa.Array:
-        t, got, ends = transducer(path, pattern), [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-        offsets = strings(column)[1]
-        for lo, hi in spans(offsets, CHUNK):
-            some, at = t.encode_all(column.slice(lo, hi - lo))
-            got.append(some)
-            ends.append(at[1:] + ends[-1][-1])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(got).view(np.int32)))
-
-    return df.withColumn(ids, run(F.col(text)))
+    def run(batches):
+        t = transducer(path, pattern)
+        for b in batches:
+            for lo, hi in spans(strings(b.column(at))[1], CHUNK):
+                some = b.slice(lo, hi - lo)
+                tokens, ends = t.encode_all(some.column(at))
+                columns = some.columns
+                columns[where : where + 1] = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = T.StructType([f for f in df.schema.fields])
+    if where < len(df.columns):
+        schema.fields[where] = T.StructField(ids, T.ArrayType(T.IntegerType()))
+    else:
+        schema = schema.add(ids, T.ArrayType(T.IntegerType()))
+    names = [f.name for f in schema.fields]
+    return df.mapInArrow(lean(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -543,4 +548,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketlane.llm.runtime import ship
+from bucketlane.llm.runtime import free, lean, ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -199,10 +199,11 @@ def format_records(df: DataFrame, record: str, fingerprint: str = "layout_id", l
         spans = pa.array([[{"start": a, "end": b} for a, b in r[3]] for r in rows], _SPANS)
         return pa.StructArray.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), spans], ["layout_id", "layout", "formatted", "spans"])
 
-    out = df.withColumn("__f", run(F.col(record)))
+    (made,) = free(df, "made")
+    out = df.withColumn(made, run(F.col(record)))
     for name, field in ((fingerprint, "layout_id"), (layout, "layout"), (marked, "formatted"), (loss, "spans")):
-        out = out.withColumn(name, F.col("__f")[field])
-    return out.drop("__f")
+        out = out.withColumn(name, F.col(made)[field])
+    return out.drop(made)
 
 
 def conversations(df: DataFrame) -> DataFrame:
@@ -249,4 +250,4 @@ def conversations(df: DataFrame) -> DataFrame:
         if state is not None:
             yield close()
 
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lean(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
-from bucketlane.llm.runtime import checkpoint, ship, spans, strings
+from bucketlane.llm.runtime import checkpoint, free, lean, ship, spans, strings
 
 SPAN, K, MOST = 10, 5, 200_000
 
@@ -200,7 +200,7 @@ def mark(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "
             rows = _rows(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS))], ["doc_id", *_NAMES])
 
-    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, {_COLUMNS}")
+    return df.select(key, text).mapInArrow(lean(run), f"doc_id {kind}, {_COLUMNS}")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, most: int = MOST) -> DataFrame:
@@ -208,9 +208,10 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
     ship(df.sparkSession)
     bench = small(benchmark, item, item_text, span, k, most)
     if bench is None:
-        numbered = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
-        bad = _joined(numbered, benchmark, "__row", text, item, item_text, span, k).where("contaminated").select(F.col("doc_id").alias("__row"))
-        return numbered.join(bad, "__row", "left_anti").drop("__row")
+        (row,) = free(df, "row")
+        numbered = checkpoint(df.withColumn(row, F.monotonically_increasing_id()))
+        bad = _joined(numbered, benchmark, row, text, item, item_text, span, k).where("contaminated").select(F.col("doc_id").alias(row))
+        return numbered.join(bad, row, "left_anti").select(*df.columns)
     shared = df.sparkSession.sparkContext.broadcast(bench)
     at = df.columns.index(text)
 
@@ -218,7 +219,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
         for b in batches:
             yield b.filter(pa.array([not r[4] for r in _rows(b.column(at), shared.value)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _joined(df: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, span: int, k: int) -> DataFrame:
@@ -241,8 +242,8 @@ def _joined(df: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
             out = [(x.n, x.k, p) for t in b.column(1).to_pylist() for x in index([(0, t)], span, k) for p in x.prints.view(np.int64).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["n", "k", "print"])
 
-    known = checkpoint(items.mapInArrow(windows, "n int, words string, item string").distinct())
-    prints = checkpoint(items.mapInArrow(item_prints, "n int, k int, print long").distinct())
+    known = checkpoint(items.mapInArrow(lean(windows), "n int, words string, item string").distinct())
+    prints = checkpoint(items.mapInArrow(lean(item_prints), "n int, k int, print long").distinct())
     shapes = sorted((r.n, r.k) for r in prints.select("n", "k").distinct().collect())  # at most `span` rows
 
     def doc_prints(batches):
@@ -258,7 +259,7 @@ def _joined(df: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
                     place = at - w.first[w.doc[at]]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[w.doc[at]]), pa.array(np.full(len(at), n, np.int32)), pa.array(place.astype(np.int32)), pa.array(h[at].view(np.int64))], ["row", "n", "place", "print"])
 
-    hit = docs.select("row", "text").mapInArrow(doc_prints, "row long, n int, place int, print long").join(prints.select("n", "print", "k"), ["n", "print"])
+    hit = docs.select("row", "text").mapInArrow(lean(doc_prints), "row long, n int, place int, print long").join(prints.select("n", "print", "k"), ["n", "print"])
     places = hit.groupBy("row").agg(F.collect_set(F.struct("n", "k", "place")).alias("places"))  # at most one text's words
 
     def around(batches):
@@ -272,7 +273,7 @@ def _joined(df: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
                     out += [(row, n, s, phrase(w, s, n).decode()) for s in starts if 0 <= s <= len(w.start) - n]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["row", "n", "start", "words"])
 
-    near = docs.join(places, "row").select("row", "text", "places").mapInArrow(around, "row long, n int, start int, words string")
+    near = docs.join(places, "row").select("row", "text", "places").mapInArrow(lean(around), "row long, n int, start int, words string")
     near = checkpoint(near.join(known.select("n", "words").distinct(), ["n", "words"]))
     spots = near.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spots"))
     named = near.select("row", "n", "words").distinct().join(known, ["n", "words"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("ids"))
@@ -288,4 +289,4 @@ def _joined(df: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS))], ["doc_id", *_NAMES])
 
     whole = docs.join(spots, "row", "left").join(named, "row", "left")
-    return whole.select("doc_id", "text", "spots", "ids").mapInArrow(close, f"doc_id {kind}, {_COLUMNS}")
+    return whole.select("doc_id", "text", "spots", "ids").mapInArrow(lean(close), f"doc_id {kind}, {_COLUMNS}")

@@ -56,6 +56,22 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(rows.unionByName(extra))
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of four layouts, made of the turns of conversations: what layout they are told to have, and their marked text."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    speaker = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    which = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    record = (
+        F.when(which == 0, F.to_json(F.struct("role", "text")))
+        .when(which == 1, F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))))
+        .when(which == 2, F.to_json(F.struct(F.array(F.struct(speaker.alias("from"), F.col("text").alias("value"))).alias("conversations"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("prompt"), F.col("text").alias("completion"))))
+    )
+    got = chat.format_records(rows.withColumn("record", record), "record")
+    loss = F.aggregate("loss_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return got.select("conv_id", "turn", "layout", F.length("formatted").cast("long").alias("formatted_chars"), F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), loss.alias("loss_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -79,7 +95,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_lm": op4_lm, "op5_chat": op5_chat, "op6_simhash": op6_simhash,
-    "op7_pages": op7_pages, "op8_licences": op8_licences, "op9_decontam": op9_decontam, "op10_media": op10_media,
+    "chat_layouts": chat_layouts, "op7_pages": op7_pages, "op8_licences": op8_licences, "op9_decontam": op9_decontam, "op10_media": op10_media,
 }
 
 _CHAT = r"""
@@ -114,4 +130,12 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op5_chat": _CHAT, "op8_licences": licences.oracle(), "op9_decontam": _DECONTAM}
+_LAYOUTS = r"""
+WITH t AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS k, coalesce(role, '') AS role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS etext FROM conversations),
+e AS (SELECT *, CASE WHEN k = 2 AND role = 'human' THEN 'user' WHEN k = 2 AND role = 'gpt' THEN 'assistant' ELSE regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') END AS erole FROM t),
+f AS (SELECT *, CASE WHEN k = 3 THEN '<|im_start|>user' || chr(10) || etext || '<|im_end|>' || chr(10) || '<|im_start|>assistant' ELSE '<|im_start|>' || erole END || chr(10) || etext || '<|im_end|>' || chr(10) AS marked FROM e)
+SELECT conv_id, turn, ['turn', 'messages', 'conversations', 'prompt_completion'][k + 1] AS layout, CAST(length(marked) AS BIGINT) AS formatted_chars, sha256(marked) AS formatted_sha256,
+  CAST(CASE WHEN k = 3 OR erole = 'assistant' THEN length(etext) ELSE 0 END AS BIGINT) AS loss_chars FROM f
+"""
+
+ORACLES = {"op5_chat": _CHAT, "chat_layouts": _LAYOUTS, "op8_licences": licences.oracle(), "op9_decontam": _DECONTAM}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
-from bucketlane.llm.runtime import ship
+from bucketlane.llm.runtime import lean, ship
 
 PER_LANG, EXCERPT, PLACES, MOST_TEXTS = 300, 1500, 12, 10_000
 #: Weights are 2^BITS for each label, fewer where there would be more than MOST_WEIGHTS in all.
@@ -383,7 +383,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([excerpts(x.as_py()) for x in b.column(2)], pa.string())], ["lang", "h", "text"])
 
     # at most about 2 * per_lang distinct texts of each language, of bounded size
-    got = some.mapInArrow(run, "lang string, h long, text string").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    got = some.mapInArrow(lean(run), "lang string, h long, text string").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.h & (2**64 - 1))):
         by.setdefault(r.lang, []).append(r.text)
@@ -415,7 +415,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             got = [p for some in _batches(b.column(1), _chunk(shared.value)) for p in predict(shared.value, some)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return df.select(key, text).mapInArrow(run, f"doc_id {df.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return df.select(key, text).mapInArrow(lean(run), f"doc_id {df.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
@@ -428,4 +428,4 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", least: floa
             got = [p for some in _batches(b.column(at), _chunk(shared.value)) for p in predict(shared.value, some)]
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
-from bucketlane.llm.runtime import ship, shared_dir, spans, strings
+from bucketlane.llm.runtime import lean, shared_dir, ship, spans, strings
 
 #: The end's hash, and text bytes that are split at once, and entries that a task holds before it sends them.
 END, CHUNK, HELD = 0x5BD1E9955BD1E995, 1 << 20, 1 << 20
@@ -311,7 +311,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(keys)]), pa.array([int(counts.sum())]), pa.array([top.tolist()]), pa.array([counts[top].tolist()])], ["part", "n", "total", "top", "often"])
 
     # one row for each range, of at most 1024 frequent words each
-    made = _gather(texts.mapInArrow(count_words, _BLOCK), ranges).mapInArrow(keep_words, "part long, n long, total long, top array<long>, often array<long>").collect()
+    made = _gather(texts.mapInArrow(lean(count_words), _BLOCK), ranges).mapInArrow(lean(keep_words), "part long, n long, total long, top array<long>, often array<long>").collect()
     sizes = {r.part: r.n for r in made}
     for part in range(ranges):
         if part not in sizes:
@@ -361,7 +361,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
             t = np.array([_tally(counts)], np.int64)
             yield _blocks([*rows, (-1 - part, t.tobytes())])
 
-    pairs = _gather(texts.mapInArrow(count_pairs, _BLOCK), 2 * model.pair_ranges).mapInArrow(keep_pairs, _BLOCK)
+    pairs = _gather(texts.mapInArrow(lean(count_pairs), _BLOCK), 2 * model.pair_ranges).mapInArrow(lean(keep_pairs), _BLOCK)
 
     def keep_stats(batches):
         def whole(rows):
@@ -388,7 +388,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], ["kind", "part", "total", "c1", "c2", "c3", "c4"])
 
     # one row of seven numbers for each range
-    stats = _gather(pairs, ranges).mapInArrow(keep_stats, "kind long, part long, total long, c1 long, c2 long, c3 long, c4 long").collect()
+    stats = _gather(pairs, ranges).mapInArrow(lean(keep_stats), "kind long, part long, total long, c1 long, c2 long, c3 long, c4 long").collect()
     told = {r.part for r in stats if r.kind == 1}
     for part in range(2 * model.pair_ranges):
         if part not in told:
@@ -446,7 +446,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
             cols = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(np.full(b.num_rows, model.n_tokens, np.int64)), pa.array(cols[2]), pa.array(cols[3])], names)
 
-    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return df.select(key, text).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(key: F.Column, parts: int = 7, part: int = 2) -> F.Column:

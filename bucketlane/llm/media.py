@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bucketlane.llm.runtime import ship
+from bucketlane.llm.runtime import free, lean, ship
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 UNIT = 576
@@ -159,7 +159,8 @@ def store(df: DataFrame, text: str = "text", media: str = "media", phash: str =
         return pa.StructArray.from_arrays([pa.array([g[i] for g in got], pa.binary()) for i in range(2)], ["media", "phash"])
 
     made = run(F.col(text))
-    return df.withColumn("__media", made).withColumn(media, F.col("__media.media")).withColumn(phash, F.col("__media.phash")).drop("__media")
+    (both,) = free(df, "stored")
+    return df.withColumn(both, made).withColumn(media, F.col(both)["media"]).withColumn(phash, F.col(both)["phash"]).drop(both)
 
 
 def read_back(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,4 +179,4 @@ def read_back(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select(key, text).mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

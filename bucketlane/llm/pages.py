@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketlane.llm.runtime import checkpoint, ship
+from bucketlane.llm.runtime import checkpoint, lean, ship
 
 #: Share of a host's pages that template tokens have; most template tokens that go to all workers; fewest pages; hosts of
 #: most rows, whose pages aren't moved where templates have to be joined.
@@ -188,7 +188,7 @@ def templates(pages: DataFrame, html: str = "html", support: float = SUPPORT) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said_, pa.int64()), pa.array(page_, pa.int64()), lists], ["host", "said", "page", "tokens"])
 
     fields = "token: bigint, vector: bigint, place: bigint, chars: bigint, linked: bigint, says: bigint"
-    rows = pages.select("host", html).mapInArrow(run, f"host string, said long, page long, tokens array<struct<{fields}>>")
+    rows = pages.select("host", html).mapInArrow(lean(run), f"host string, said long, page long, tokens array<struct<{fields}>>")
     once = rows.groupBy("host", "said").agg(F.min_by("tokens", "page").alias("tokens")).select("host", F.inline("tokens"))
     totals = [F.sum(c).alias(c) for c in ("vector", "place", "chars", "linked")]
     sums = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), *totals, F.max("says").alias("says"))
@@ -353,4 +353,4 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 texts.append(extract(page, t))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return with_template.select("page_id", "url", "host", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return with_template.select("page_id", "url", "host", "html", "template").mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long")

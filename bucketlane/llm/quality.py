@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
-from bucketlane.llm.runtime import remove, shared_dir, ship, spans, strings
+from bucketlane.llm.runtime import lean, remove, shared_dir, ship, spans, strings
 
 LABELLED, GIVEN, ROUNDS, SLOTS, GRAMS, CHUNK = 8000, 1000, 4, 64, 64, 1 << 19
 N_CONTENT, N_METADATA = 23 + 2 * GRAMS, SLOTS + 32 + 24
@@ -238,7 +238,7 @@ def from_table(pool: DataFrame) -> Pick:
             rows = [(v, side, doubt, p, a, m) for (v, side), found in best.items() for p, (doubt, a, m) in sorted(found.items(), key=lambda x: (x[1][0], x[0]))[: (bad, fine)[side]]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], ["view", "side", "doubt", "print", "a", "m"])
 
-        found = pool.select("a", "m", "print").mapInArrow(run, "view int, side int, doubt double, print long, a binary, m binary")
+        found = pool.select("a", "m", "print").mapInArrow(lean(run), "view int, side int, doubt double, print long, a binary, m binary")
         found = found.groupBy("view", "side", "print").agg(F.min(F.struct("doubt", "a", "m")).alias("x")).select("view", "side", "print", "x.*").persist()
         out, new = [], set()
         for v in (0, 1):
@@ -283,7 +283,7 @@ def features(docs: DataFrame, labels: DataFrame, text: str = "text", source: str
             a, m = _features(b, "text", "source", "lang", "n_chars")
             yield pa.RecordBatch.from_arrays([b.column("id"), *_packed(a, m), pa.array(prints_of(a, m))], ["id", "a", "m", "print"])
 
-    made = rows.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, a binary, m binary, print long")
+    made = rows.mapInArrow(lean(run), f"id {docs.schema[key].dataType.simpleString()}, a binary, m binary, print long")
     return made.join(told, "id", "left").select("a", "m", "print", "y")
 
 
@@ -322,7 +322,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             p = _scores(b, shared.value, (text, source, lang, n_chars))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, i]) for i in range(3)), pa.array(p[:, 0] >= 0.5)], ["doc_id", "quality_score", "content_score", "metadata_score", "accepted"])
 
-    return df.select(key, text, source, lang, n_chars).mapInArrow(run, f"doc_id {df.schema[key].dataType.simpleString()}, quality_score double, content_score double, metadata_score double, accepted boolean")
+    return df.select(key, text, source, lang, n_chars).mapInArrow(lean(run), f"doc_id {df.schema[key].dataType.simpleString()}, quality_score double, content_score double, metadata_score double, accepted boolean")
 
 
 def keep_good(df: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", least: float = 0.5) -> DataFrame:
@@ -334,4 +334,4 @@ def keep_good(df: DataFrame, model: Model, text: str = "text", source: str = "so
         for b in batches:
             yield b.filter(pa.array(_scores(b, shared.value, (text, source, lang, n_chars))[:, 0] >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

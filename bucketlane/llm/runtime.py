@@ -1,8 +1,9 @@
-"""What the operators share: shipping the code, temp-free checkpoints and Arrow helpers."""
+"""What the operators share: shipping the code, the shared folder and Arrow helpers."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -13,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from bucketlane.sources.shared import checkpoint  # noqa: F401
+from bucketlane.sources.shared import folder as shared_dir  # noqa: F401
+
 _SHIPPED: set[str] = set()
 
 
@@ -35,25 +39,36 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run
-    on one machine."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file:///tmp/checkpoints/bucketlane"
-    os.makedirs(own.removeprefix("file://"), exist_ok=True)
-    return own
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint: the data and not the lineage survive a lost executor."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the machine, as workers serve many stages one after the other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """run (batches to batches), which leaves its worker's memory tidy."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
 
 
 def remove(spark: SparkSession, path: str) -> None:

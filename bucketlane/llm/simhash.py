@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketlane.llm import bytewords
-from bucketlane.llm.runtime import checkpoint, ship, spans, strings
+from bucketlane.llm.runtime import checkpoint, free, lean, ship, spans, strings
 
 SEED, K, RADIUS, MOST = 42, 3, 3, 4096
 _EVEN = 0x5555555555555555
@@ -80,7 +80,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 got.append(fingerprints_of(data[part[0] : part[-1]], part - part[0]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(got).view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(key, text).mapInArrow(run, f"doc_id {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(key, text).mapInArrow(lean(run), f"doc_id {df.schema[key].dataType.simpleString()}, fp long")
 
 
 def grids(radius: int = RADIUS) -> list[int]:
@@ -126,7 +126,9 @@ def links(points: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFram
     ship(points.sparkSession)
     e = embedding(F.col("fp"))
     cells = F.array(*(F.struct(F.lit(i).alias("grid"), e.bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(grids(radius))))
-    rows = points.select("fp", F.explode(cells).alias("c")).select("c.grid", "c.cell", "fp")
+    # each point becomes a row for each grid, so they are dealt to as many tasks as later shuffles have
+    dealt_ = points.select("fp").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = dealt_.select("fp", F.explode(cells).alias("c")).select("c.grid", "c.cell", "fp")
     full = rows.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = rows.join(full, ["grid", "cell"])
     # a cell of more than `most` points: chunk i goes to the tiles (i, j) of every j
@@ -173,7 +175,7 @@ def links(points: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFram
         if kept is not None and (found := solve(kept)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, steps: int = 60) -> DataFrame:
@@ -214,11 +216,12 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     """The rows of df, one for each class: that of the least doc_id, nulls last; of several such rows any one. Ids that are
     null or occur twice don't tell rows apart, so rows are numbered then."""
     if not df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count():
-        kept = near_duplicates(df, key, text, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-        return df.join(kept, df[key] == F.col("__kept"), "left_semi")
-    numbered = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
-    classes = near_duplicates(numbered, "__row", text, radius).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = numbered.select("__row", F.col(key).alias("id"))
-    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("__row").alias("__kept")))
-    kept = classes.join(ids, "__row").groupBy("component_id").agg(first.alias("first")).select("first.__kept")
-    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+        kept = near_duplicates(df, key, text, radius).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+        return df.join(kept, key, "left_semi").select(*df.columns)
+    (row,) = free(df, "row")
+    numbered = checkpoint(df.withColumn(row, F.monotonically_increasing_id()))
+    classes = near_duplicates(numbered, row, text, radius).select(F.col("doc_id").alias("n"), "component_id")
+    ids = numbered.select(F.col(row).alias("n"), F.col(key).alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), "n"))
+    kept = classes.join(ids, "n").groupBy("component_id").agg(first.alias("first")).select(F.col("first.n").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*df.columns)

@@ -282,10 +282,32 @@ def test_licence_rules(spark):
 def test_each_known_sentence_is_found(spark):
     ids = sorted(licences.SENTENCES)
     df = spark.createDataFrame([(i, licences.SENTENCES[k]) for i, k in enumerate(ids)], "doc_id long, text string")
-    singles = {ids_[0]: name for name, ids_ in reversed(licences.RULES) if len(ids_) == 1}
+    rules = {}
+    for name, ids_ in licences.RULES:
+        if len(ids_) == 1:
+            rules.setdefault(ids_[0], name)
     for r in licences.scan(df).collect():
         assert r.sentence_ids.split(",") == [licences.KNOWN[w] for w in licences._words_of(licences.SENTENCES[ids[r.doc_id]])]
-        assert r.licences == singles.get(ids[r.doc_id], "")
+        assert rules.get(ids[r.doc_id], "") in r.licences.split(",")
+
+
+def test_holders_and_tags(spark):
+    s = licences.SENTENCES
+    names = s["BSD-NAMES"].replace("the copyright holder", "Example Labs, Inc.")
+    asis = s["BSD-ASIS"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "EXAMPLE LABS ``AND''")
+    bsd = [s["BSD-HEAD"], s["BSD-SOURCE"], s["BSD-BINARY"], names, asis]
+    tags = [f"SPDX-License-Identifier: {t}" for t in ("GPL-3.0-or-later", "LGPL-2.1-only", "AGPL-3.0", "CC-BY-SA-4.0", "Zlib")]
+    got = _names(spark, "\n".join(bsd), "// " + "\n# ".join(tags), "This work is licensed under a Creative Commons Attribution 4.0 International License.", "\n".join([s["ZLIB-ASIS"], s["ZLIB-LIABLE"], s["ZLIB-GRANT"]]), s["EUPL-LINE"], s["0BSD-GRANT"] + "\n" + s["ISC-ASIS"])
+    assert got == ["BSD-3-Clause", "AGPL-3.0,CC-BY-SA-4.0,GPL-3.0-or-later,LGPL-2.1-only,Zlib", "CC-BY-4.0", "Zlib", "EUPL-1.2", "0BSD"]
+
+
+def test_own_columns_of_any_name(spark):
+    """Columns that are named like what operators use inside stay."""
+    names = ["lines", "paras", "names", "row", "stored", "made", "__row", "__lines", "n"]
+    df = spark.createDataFrame([(1, "Released under the MIT License.", json.dumps({"role": "user", "text": "a"}), *names)], ["doc_id", "text", "record", *names])
+    for out in (licences.scan(df), media.store(df), chat.format_records(df, "record"), langid.keep_identified(df, langid.fit(["the of", "der die"], ["en", "de"]), least=0.0)):
+        row = out.first()
+        assert [row[n] for n in names] == names and set(df.columns) <= set(out.columns)
 
 
 def test_licence_columns_and_repeats(spark):
@@ -513,6 +535,46 @@ def test_media_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
 
 
+def _plain_hash(pixels: np.ndarray) -> str:
+    """The cosine hash by its definition: area means, a transform by sums, signs against the median."""
+    h, w = pixels.shape
+    cut = lambda n: [(i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32)) for i in range(32)]
+    starts = [a for a, _ in cut(w)]
+    small = np.array([[pixels[a:b, c : (d if d > c else None)].mean() if (d := (starts + [w])[j + 1]) > c else pixels[a:b, c].mean() for j, c in enumerate(starts)] for a, b in cut(h)])
+    low = [round(float(sum(small[y, x] * np.cos(np.pi / 32 * (y + 0.5) * u) * np.cos(np.pi / 32 * (x + 0.5) * v) for y in range(32) for x in range(32))), 6) for u in range(8) for v in range(8)]
+    return np.packbits(np.array(low) > np.median(low[1:])).tobytes().hex()
+
+
+def test_media_query_against_brute_force(spark):
+    """Stored form and feature of a sample of the query's rows: the image is read by its definition, pixel by pixel."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = entries.op10_media(spark, SMALL).orderBy("doc_id").collect()
+    for r in rows[::20]:
+        png = media.write_png(media.pad(texts[r.doc_id].encode()))
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        at, idat, head = 8, b"", None
+        while at < len(png):
+            n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            body = png[at + 8 : at + 8 + n]
+            assert zlib.crc32(kind + body) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+            head, idat = (body if kind == b"IHDR" else head), idat + (body if kind == b"IDAT" else b"")
+            at += 12 + n
+        w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+        raw, lines = zlib.decompress(idat), []
+        for y in range(h):
+            kind, line, up = raw[y * (w + 1)], list(raw[y * (w + 1) + 1 : (y + 1) * (w + 1)]), lines[-1] if lines else [0] * w
+            for x in range(w):
+                a, b, c = line[x - 1] if x else 0, up[x], up[x - 1] if x else 0
+                p = a + b - c
+                line[x] = (line[x] + (0, a, b, (a + b) // 2, min((a, b, c), key=lambda v: abs(p - v)))[kind]) & 255
+            lines.append(line)
+        pixels = np.array(lines, np.uint8)
+        assert pixels.tobytes() == media.pad(texts[r.doc_id].encode())
+        if len(pixels) >= 32:
+            assert r.feature == _plain_hash(pixels)
+        assert r.feature == media.cosine_hash(pixels).hex()
+
+
 def test_media_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "x" * 100_000, 3), (2, "x" * 100_000, 3)], "doc_id long, text string, media int")
     got = media.read_back(df).collect()
