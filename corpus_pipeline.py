@@ -7,6 +7,7 @@ decisions take effect. All stages but the last return the columns of documents;
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,17 +50,12 @@ STAGES = [
 ]
 #: Learned models and tokenizers can't be expressed in SQL.
 ORACLE_SQL = None
-#: Folders of runs of this application.
-_LEFT: list[str] = []
-
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again. A stage's rows are deleted
-    once the next one's are written; what the last stage reads stays until the next run of the application."""
+    once the next one's are written; what the last stage reads stays until the program ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{runtime.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    while _LEFT:
-        runtime.remove(spark, _LEFT.pop())
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
@@ -67,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = spark.read.parquet(f"{folder}/{i}")
             if i:
                 runtime.remove(spark, f"{folder}/{i - 1}")
-    _LEFT.append(folder)
+    atexit.register(lambda: spark.sparkContext._jsc and runtime.remove(spark, folder))
     return docs
