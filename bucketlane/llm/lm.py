@@ -1,16 +1,19 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model, counted in Spark.
 
 Training takes two passes over the training texts. The first counts words: each task sums what it has read, deals the
 sorted (hash, count) runs out by hash range, and each range becomes one sorted array; a word's id is its rank over all
-ranges. The second counts pairs of ids the same way, dealt by ranges of the first id; ids so frequent that one range
-would outgrow the others are dealt by the second id as well. What pairs say of their words (continuations, totals, how
-many pairs occur once, twice, more often) is summed once more by id. The arrays are files in the folder that driver and
-executors share; workers map them into memory and look words and pairs up by binary search, so a model needs no heap and
-is never collected. Files are written under another name and renamed, so a task that runs again changes nothing.
-
-Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. Probabilities sum to one over the vocabulary
-and one unknown word. Edge cases: null and empty texts are one end; without training texts all words are unknown and
-both scores are those of the uniform distribution over one word, 0; repeated rows stay.
+ranges. The second counts n-grams of the model's order, by a hash of their ids and dealt by a hash of their context;
+n-grams whose whole context is words so frequent that one range would outgrow the others are dealt by their own hash.
+Each range becomes sorted hash arrays: n-grams with their counts, and contexts with what follows them (how many, and how
+many n-grams occur once, twice, more often). Then each n-gram counts once for the n-gram without its first word, which
+gives the next lower order's counts, dealt and stored alike, down to single words; an n-gram that begins a text, before
+which nothing can stand, keeps its own count. The arrays are files in the folder that driver and executors share; workers
+map them into memory and look up by binary search, so a model needs no heap and is never collected. Files are written
+under another name and renamed, so a task that runs again changes nothing.
+
+Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. Hashes have 64 bits. Probabilities sum to one
+over the vocabulary and one unknown word. Edge cases: null and empty texts are one end; without training texts all words
+are unknown and both scores are those of the uniform distribution over one word, 0; repeated rows stay.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from bucketlane.llm.runtime import lean, shared_dir, ship, spans, strings
 
 #: The end's hash, and text bytes that are split at once, and entries that a task holds before it sends them.
 END, CHUNK, HELD = 0x5BD1E9955BD1E995, 1 << 20, 1 << 20
-#: Pairs that a range should hold.
-RANGE = 2_000_000
+#: N-grams that a range should hold, and the order of a model unless another one is asked for.
+RANGE, ORDER = 2_000_000, 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -116,12 +119,15 @@ class Model:
     folder: str
     ranges: int
     bases: list[int]
+    order: int = ORDER
     n_words: int = 0
     n_tokens: int = 0
-    pair_ranges: int = 1
+    #: Ranges of n-grams by context; as many more hold those of hot contexts.
+    parts: int = 1
+    #: Ids of hot words; the begin, which has the id after the last word's, is one.
     hot: list[int] = field(default_factory=list)
-    pair_discounts: tuple = (0.0, 0.0, 0.0, 0.0)
-    word_discounts: tuple = (0.0, 0.0, 0.0, 0.0)
+    #: By order, from single words on.
+    discounts: list[tuple] = field(default_factory=list)
     pairs: int = 0
     #: How many words have 1, 2, 3 and 4 different words before them.
     kinds: list[int] = field(default_factory=lambda: [0, 0, 0, 0])
@@ -130,16 +136,64 @@ class Model:
         return ((h >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
 
     def id_range(self, ids: np.ndarray) -> np.ndarray:
-        """Range of word ids; the id after the last one is the begin, which only precedes."""
+        """Range of word ids."""
         return np.minimum(np.searchsorted(np.asarray(self.bases[1:]), ids, "right"), self.ranges - 1)
 
-    def pair_range(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        spread = max(1, self.n_words + 1)
-        out = u.astype(np.int64) * self.pair_ranges // spread
-        if self.hot:
-            often = np.isin(u, np.asarray(self.hot, u.dtype))
-            out[often] = self.pair_ranges + (bytewords.mix(v[often].astype(np.uint64)) % np.uint64(self.pair_ranges)).astype(np.int64)
-        return out
+    def deal(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, hash of the context, range) of n-grams, given by columns of ids."""
+        context, hot = np.zeros(len(grams[0]), np.uint64), np.ones(len(grams[0]), bool)
+        for c in grams[:-1]:
+            context = _link(context, c)
+            hot &= np.isin(c, np.asarray(self.hot, c.dtype))
+        key = _link(context, grams[-1])
+        part = ((context >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
+        part[hot] = self.parts + ((key[hot] >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
+        return key, context, part
+
+
+def _link(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return bytewords.mix(h * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) + np.uint64(1))
+
+
+def grams_of(ids: np.ndarray, first: np.ndarray, order: int, begin: int, only_first: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places, columns of ids) of the n-grams of texts, one for each token that has as many before it; the begin of the text
+    counts as one. only_first: those alone that start with the begin."""
+    local = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    at = np.flatnonzero(local == order - 2 if only_first else local >= order - 2)
+    return at, [np.where(local[at] >= d, ids[np.maximum(at - d, 0)], begin).astype(np.uint32) for d in range(order - 1, -1, -1)]
+
+
+class Grams:
+    """Running counts of n-grams, given by columns of ids."""
+
+    def __init__(self, model: Model, order: int):
+        self.model, self.order, self.parts, self.held = model, order, [], 0
+
+    def add(self, columns: list[np.ndarray], count: np.ndarray) -> None:
+        self.parts.append([*columns, count])
+        self.held += len(count)
+        if self.held > 4 * RANGE and len(self.parts) > 1:
+            self.settle()
+
+    def settle(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, counts, hashes, contexts, ranges) of distinct n-grams, by hash."""
+        whole = [np.concatenate([np.zeros(0, np.int64 if i == self.order else np.uint32), *(p[i] for p in self.parts)]) for i in range(self.order + 1)]
+        key, context, part = self.model.deal(whole[:-1])
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+        pick = order[at]
+        count = np.add.reduceat(whole[-1][order], at) if len(at) else whole[-1]
+        columns = [c[pick] for c in whole[:-1]]
+        self.parts, self.held = [[*columns, count]], len(count)
+        return columns, count, key[pick], context[pick], part[pick]
+
+    def blocks(self) -> list[tuple[int, int, bytes]]:
+        """(order, range, block) of all that is held, which is then forgotten."""
+        columns, count, _, _, part = self.settle()
+        self.parts, self.held = [], 0
+        by = np.argsort(columns[0], kind="stable")  # packing takes ascending ids
+        return [(self.order, p, b) for p, b in _deal(part[by], *(c[by] for c in columns), count[by])]
 
 
 class Reader:
@@ -177,34 +231,53 @@ class Reader:
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             r, some = int(part[lo]), real[lo:hi]
             for o, name in zip(out, names):
-                column, at = self(f"{name}-{r}"), known[some] - self.m.bases[r]
-                fits = at < len(column)  # the begin has no word count
-                o[some[fits]] = column[at[fits]]
+                o[some] = self(f"{name}-{r}")[known[some] - self.m.bases[r]]
         return [o[back] for o in out]
 
-    def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Counts of pairs of ids, 0 for unknown ones."""
-        out = np.zeros(len(u), np.int64)
-        both = np.flatnonzero((u >= 0) & (v >= 0))
-        part = self.m.pair_range(u[both], v[both])
-        key = (u[both].astype(np.uint64) << np.uint64(32)) | v[both].astype(np.uint64)
+    def _found(self, part: np.ndarray, key: np.ndarray, keys: str, values: tuple[str, ...]) -> list[np.ndarray]:
+        """Values of keys in the files of their ranges, 0 for unknown ones."""
+        out = [np.zeros(len(key), np.int64) for _ in values]
         order = np.lexsort((key, part))
-        part, key, both = part[order], key[order], both[order]
+        part, key = part[order], key[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            table = self(f"pair-{part[lo]}")
+            r = int(part[lo])
+            table = self(f"{keys}-{r}")
             if len(table):
                 at = np.minimum(np.searchsorted(table, key[lo:hi]), len(table) - 1)
-                out[both[lo:hi]] = np.where(table[at] == key[lo:hi], self(f"count-{part[lo]}")[at], 0)
+                hit = np.flatnonzero(table[at] == key[lo:hi])
+                for o, name in zip(out, values):
+                    o[order[lo:hi][hit]] = self(f"{name}-{r}")[at[hit]]
         return out
 
+    def grams(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(count, [total, n1, n2, n3] of the context) of n-grams."""
+        k = len(columns)
+        key, context, part = self.m.deal(columns)
+        count = self._found(part, key, f"key{k}", (f"count{k}",))[0]
+        once, back = np.unique(context, return_index=True, return_inverse=True)[1:]
+        hot = part[once] >= self.m.parts
+        names = [[f"{n}{k}" for n in ("total", "n1_", "n2_", "n3_")], [f"hot-{n}{k}" for n in ("total", "n1_", "n2_", "n3_")]]
+        stats = [np.zeros(len(once), np.int64) for _ in range(4)]
+        for some, keys, values, ranges in ((~hot, f"context{k}", names[0], part), (hot, f"hot-context{k}", names[1], None)):
+            which = np.flatnonzero(some)
+            h = context[once[which]]
+            r = part[once[which]] if ranges is not None else _hot_range(h, self.m.ranges)
+            for o, got in zip(stats, self._found(r, h, keys, tuple(values))):
+                o[which] = got
+        return count, [x[back] for x in stats]
+
+
+def _hot_range(context: np.ndarray, ranges: int) -> np.ndarray:
+    return ((context >> np.uint64(20)) % np.uint64(ranges)).astype(np.int64)
+
 
 _OPEN: dict[str, Reader] = {}
 
 
 def reader(model: Model) -> Reader:
     """One for each worker and model; those of other models are closed."""
-    key = f"{model.folder}/{model.pairs}"
+    key = f"{model.folder}/{model.pairs}/{len(model.discounts)}"
     if key not in _OPEN:
         _OPEN.clear()
         _OPEN[key] = Reader(model)
@@ -220,13 +293,19 @@ def _texts(batches, column: int = 0):
             yield data[part[0] : part[-1]], part - part[0]
 
 
-_BLOCK = "part int, block binary"
+_BLOCK, _LEVELS = "part int, block binary", "level int, part int, block binary"
 
 
 def _blocks(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "block"])
 
 
+def _levels(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Blocks of several orders; 0 stands for counts of counts, -k for the hot contexts of order k."""
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["level", "part", "block"])
+
+
 def _deal(part: np.ndarray, *arrays: np.ndarray):
     """Blocks by part, of arrays whose first is ascending within each part."""
     order = np.argsort(part, kind="stable")
@@ -250,8 +329,8 @@ def _per_part(batches, *kinds):
         yield now, sums.settle()
 
 
-def _gather(blocks: DataFrame, parts: int) -> DataFrame:
-    return blocks.repartition(parts, "part").sortWithinPartitions("part")
+def _gather(blocks: DataFrame, parts: int, *by: str) -> DataFrame:
+    return blocks.repartition(parts, *by).sortWithinPartitions(*by)
 
 
 def _tally(counts: np.ndarray) -> list[int]:
@@ -280,12 +359,14 @@ def folder_of(spark: SparkSession, folder: str | None) -> str:
     return path
 
 
-def train(texts: DataFrame, folder: str | None = None) -> Model:
-    """The model of the single text column of `texts`."""
+def train(texts: DataFrame, folder: str | None = None, order: int = ORDER) -> Model:
+    """The model of the single text column of `texts`. order: words of an n-gram, two or more."""
+    if order < 2:
+        raise ValueError("a model has an order of two or more")
     spark = texts.sparkSession
     ship(spark)
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    model = Model(folder_of(spark, folder), ranges, [0] * ranges)
+    model = Model(folder_of(spark, folder), ranges, [0] * ranges, order)
 
     def count_words(batches):
         sums = Sums(np.uint64, np.int64)
@@ -311,7 +392,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(keys)]), pa.array([int(counts.sum())]), pa.array([top.tolist()]), pa.array([counts[top].tolist()])], ["part", "n", "total", "top", "often"])
 
     # one row for each range, of at most 1024 frequent words each
-    made = _gather(texts.mapInArrow(lean(count_words), _BLOCK), ranges).mapInArrow(lean(keep_words), "part long, n long, total long, top array<long>, often array<long>").collect()
+    made = _gather(texts.mapInArrow(lean(count_words), _BLOCK), ranges, "part").mapInArrow(lean(keep_words), "part long, n long, total long, top array<long>, often array<long>").collect()
     sizes = {r.part: r.n for r in made}
     for part in range(ranges):
         if part not in sizes:
@@ -319,96 +400,138 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
             save(model.folder, f"freq-{part}", np.zeros(0, np.int64))
     model.bases = [sum(sizes.get(p, 0) for p in range(r)) for r in range(ranges)]
     model.n_words, model.n_tokens = sum(sizes.values()), sum(r.total for r in made)
-    if model.n_words >= 1 << 32:
-        raise ValueError("more than 2^32 - 1 distinct words")
-    model.pair_ranges = max(8, -(-model.n_tokens // RANGE))
-    limit = model.n_tokens / (4 * model.pair_ranges)
+    if model.n_words >= (1 << 32) - 1:
+        raise ValueError("more than 2^32 - 2 distinct words")
+    model.parts = max(8, -(-model.n_tokens // RANGE))
+    limit = model.n_tokens / (4 * model.parts)
     model.hot = [*sorted(model.bases[r.part] + i for r in made for i, c in zip(r.top, r.often) if c > limit), model.n_words]
 
-    def count_pairs(batches):
-        read, sums = reader(model), Sums(np.uint64, np.int64)
-
-        def send():
-            keys, counts = sums.settle()
-            sums.clear()
-            part = model.pair_range((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            return _blocks(list(_deal(part, keys, counts)))
-
+    def count_grams(batches):
+        read, sums = reader(model), {k: Grams(model, k) for k in range(2, order + 1)}
         for data, offsets in _texts(batches):
             h, first = tokens(data, offsets)
-            v = read.ids(h)
-            u = np.concatenate([[model.n_words], v[:-1]])
-            u[first[:-1]] = model.n_words
-            key = (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
-            sums.add(*np.unique(key, return_counts=True))
-            if sums.held > HELD:
-                yield send()
-        if sums.held:
-            yield send()
-
-    # word statistics go on as blocks of (id, kind, value): kinds are total, n1, n2, n3+ of what follows, and continuations
-    def keep_pairs(batches):
-        for part, (keys, counts) in _per_part(batches, np.uint64, np.int64):
-            save(model.folder, f"pair-{part}", keys)
-            save(model.folder, f"count-{part}", counts.astype(np.uint8 if counts.max() < 256 else np.uint32))
-            u, v = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-            ctx = summed(u, counts, counts == 1, counts == 2, counts > 2)
-            ctx = [ctx[0], *(c.astype(np.int64) for c in ctx[1:]), np.zeros(len(ctx[0]), np.int64)]
-            ends, n = np.unique(v, return_counts=True)
-            zero = np.zeros(len(ends), np.int64)
-            rows = [(p, b) for c in (ctx, [ends, zero, zero, zero, zero, n.astype(np.int64)]) for p, b in _deal(model.id_range(c[0].astype(np.int64)), *c)]
-            # counts of counts travel as a block of part -1
-            t = np.array([_tally(counts)], np.int64)
-            yield _blocks([*rows, (-1 - part, t.tobytes())])
-
-    pairs = _gather(texts.mapInArrow(lean(count_pairs), _BLOCK), 2 * model.pair_ranges).mapInArrow(lean(keep_pairs), _BLOCK)
-
-    def keep_stats(batches):
-        def whole(rows):
-            for b in rows:
-                real = b.filter(pa.compute.greater_equal(b.column(0), 0))
-                for part, block in zip(b.column(0).to_pylist(), b.column(1)):
-                    if part < 0:
-                        told.append([-1 - part, *np.frombuffer(block.as_py(), np.int64).tolist()])
-                yield real
-
-        told: list[list[int]] = []
-        kinds = (np.uint64, *[np.int64] * 5)
-        out = []
-        for part, (ids, total, n1, n2, n3, k) in _per_part(whole(batches), *kinds):
+            ids = read.ids(h)
+            for k, g in sums.items():
+                at, columns = grams_of(ids, first, k, model.n_words, k < order)
+                g.add(columns, np.ones(len(at), np.int64))
+            if sums[order].held > HELD:
+                sums[order].settle()
+                if sums[order].held > HELD // 2:
+                    yield _levels([b for g in sums.values() for b in g.blocks()])
+        if any(g.held for g in sums.values()):
+            yield _levels([b for g in sums.values() for b in g.blocks()])
+
+    def keep_grams(k: int):
+        """Stores the n-grams of order k, and gives what they say of shorter ones; other blocks pass through."""
+
+        def store(part: int, sums: Grams):
+            columns, count, key, context, _ = sums.settle()
+            save(model.folder, f"key{k}-{part}", key)
+            save(model.folder, f"count{k}-{part}", _narrow(count))
+            ctx = summed(context, count, count == 1, count == 2, count > 2)
+            rows = [(0, part, np.array([k, *_tally(count)], np.int64).tobytes())]
+            if part < model.parts:
+                for name, c in zip(("context", "total", "n1_", "n2_", "n3_"), ctx):
+                    save(model.folder, f"{name}{k}-{part}", c if name == "context" else _narrow(c.astype(np.int64)))
+            else:
+                rows += [(-k, p, b) for p, b in _deal(_hot_range(ctx[0], ranges), ctx[0], *(c.astype(np.int64) for c in ctx[1:]))]
+            if k > 2:
+                shorter = Grams(model, k - 1)
+                shorter.add(columns[1:], np.ones(len(count), np.int64))
+                return rows + shorter.blocks()
+            ends, n = np.unique(columns[1], return_counts=True)
+            return rows + [(1, p, b) for p, b in _deal(model.id_range(ends.astype(np.int64)), ends.astype(np.uint64), n.astype(np.int64))]
+
+        def run(batches):
+            now, sums = None, Grams(model, k)
+            for b in batches:
+                through = []
+                for level, part, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    if level != k:
+                        through.append((level, part, block.as_py()))
+                        continue
+                    if part != now:
+                        if now is not None:
+                            yield _levels(store(now, sums))
+                        now, sums = part, Grams(model, k)
+                    *columns, count = unpack(block.as_py(), *[np.uint32] * k, np.int64)
+                    sums.add(columns, count)
+                if through:
+                    yield _levels(through)
+            if now is not None:
+                yield _levels(store(now, sums))
+
+        return run
+
+    blocks = texts.mapInArrow(lean(count_grams), _LEVELS)
+    for k in range(order, 1, -1):
+        blocks = _gather(blocks, 2 * model.parts, "level", "part").mapInArrow(lean(keep_grams(k)), _LEVELS)
+
+    def keep_rest(batches):
+        out, now, sums = [], None, None
+
+        def store():
+            level, part = now
+            keys, *values = sums.settle()
+            if level < 0:
+                for name, c in zip(("context", "total", "n1_", "n2_", "n3_"), (keys, *values)):
+                    save(model.folder, f"hot-{name}{-level}-{part}", c)
+                out.append([level, part, 0, 0, 0, 0, 0])
+                return
             base = model.bases[part]
-            size = (model.bases[part + 1] if part + 1 < ranges else model.n_words + 1) - base
-            at = ids.astype(np.int64) - base
-            for name, c in (("total", total), ("n1", n1), ("n2", n2), ("n3", n3), ("cont", k)):
-                dense = np.zeros(size, np.int64)
-                dense[at] = c
-                save(model.folder, f"{name}-{part}", dense if name == "total" else dense.astype(np.uint32))
-            out.append([0, part, int(k.sum()), *_tally(k)])
-        out += [[1, t[0], 0, *t[1:]] for t in told]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], ["kind", "part", "total", "c1", "c2", "c3", "c4"])
-
-    # one row of seven numbers for each range
-    stats = _gather(pairs, ranges).mapInArrow(lean(keep_stats), "kind long, part long, total long, c1 long, c2 long, c3 long, c4 long").collect()
-    told = {r.part for r in stats if r.kind == 1}
-    for part in range(2 * model.pair_ranges):
-        if part not in told:
-            save(model.folder, f"pair-{part}", np.zeros(0, np.uint64))
-            save(model.folder, f"count-{part}", np.zeros(0, np.uint8))
-    for part in set(range(ranges)) - {r.part for r in stats if r.kind == 0}:
-        for name in ("total", "n1", "n2", "n3", "cont"):
-            save(model.folder, f"{name}-{part}", np.zeros(0, np.int64))
-    by = {k: [sum(r[i] for r in stats if r.kind == k) for i in range(3, 7)] for k in (0, 1)}
-    model.word_discounts, model.pair_discounts = discounts(*by[0]), discounts(*by[1])
-    model.pairs = sum(r.total for r in stats if r.kind == 0)
-    model.kinds = by[0]
+            dense = np.zeros((model.bases[part + 1] if part + 1 < ranges else model.n_words) - base, np.int64)
+            dense[keys.astype(np.int64) - base] = values[0]
+            save(model.folder, f"cont-{part}", _narrow(dense))
+            out.append([1, part, int(dense.sum()), *_tally(dense)])
+
+        for b in batches:
+            for level, part, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if level == 0:
+                    k, *tally = np.frombuffer(block.as_py(), np.int64).tolist()
+                    out.append([0, part, k, *tally])
+                    continue
+                if (level, part) != now:
+                    if now is not None:
+                        store()
+                    now, sums = (level, part), Sums(np.uint64, *[np.int64] * (1 if level == 1 else 4), most=2 * RANGE)
+                sums.add(*unpack(block.as_py(), np.uint64, *[np.int64] * (1 if level == 1 else 4)))
+        if now is not None:
+            store()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], ["level", "part", "total", "c1", "c2", "c3", "c4"])
+
+    # one row of seven numbers for each range and order
+    told = _gather(blocks, ranges, "level", "part").mapInArrow(lean(keep_rest), "level long, part long, total long, c1 long, c2 long, c3 long, c4 long").collect()
+    here = {(r.total if r.level == 0 else r.level, r.part) for r in told}
+    for k in range(2, order + 1):
+        for part in range(2 * model.parts):
+            if (k, part) not in here:
+                for name in ("key", "count", "context", "total", "n1_", "n2_", "n3_"):
+                    save(model.folder, f"{name}{k}-{part}", np.zeros(0, np.uint64 if name in ("key", "context") else np.uint8))
+        for part in range(ranges):
+            if (-k, part) not in here:
+                for name in ("context", "total", "n1_", "n2_", "n3_"):
+                    save(model.folder, f"hot-{name}{k}-{part}", np.zeros(0, np.uint64 if name == "context" else np.int64))
+    for part in range(ranges):
+        if (1, part) not in here:
+            save(model.folder, f"cont-{part}", np.zeros((model.bases[part + 1] if part + 1 < ranges else model.n_words) - model.bases[part], np.uint8))
+    tallies = [[sum(r[i] for r in told if (r.total if r.level == 0 else r.level) == k) for i in range(3, 7)] for k in range(1, order + 1)]
+    model.discounts = [discounts(*t) for t in tallies]
+    model.pairs = sum(r.total for r in told if r.level == 1)
+    model.kinds = tallies[0]
     return model
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as their greatest takes."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
 def word_probability(model: Model, k: np.ndarray, kinds: tuple[int, int, int]) -> np.ndarray:
     """Continuation probability of words with k different words before them. kinds: words with k = 1, 2, more."""
-    d = np.asarray(model.word_discounts)
     if not model.pairs:
         return np.full(len(k), 1 / (model.n_words + 1))
+    d = np.asarray(model.discounts[0])
     left = sum(d[i + 1] * kinds[i] for i in range(3)) / model.pairs
     return (k - d[np.minimum(k, 3)]) / model.pairs + left / (model.n_words + 1)
 
@@ -416,18 +539,17 @@ def word_probability(model: Model, k: np.ndarray, kinds: tuple[int, int, int]) -
 def score_texts(model: Model, read: Reader, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(n_tokens, n_known, base_score, score) of each text."""
     h, first = tokens(data, offsets)
-    v = read.ids(h)
-    u = np.concatenate([[model.n_words], v[:-1]])
-    u[first[:-1]] = model.n_words
-    c, k = read.of_words(v, ("freq", "cont"))
-    total, n1, n2, n3 = read.of_words(u, ("total", "n1", "n2", "n3"))
-    n1_, n2_, n3_, n4_ = model.kinds
-    ones = (n1_, n2_, model.n_words - n1_ - n2_)
-    p = word_probability(model, k, ones)
-    d, pair = np.asarray(model.pair_discounts), read.pairs(u, v)
-    safe = np.maximum(total, 1)
-    left = (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe
-    p = np.where(total > 0, (pair - d[np.minimum(pair, 3)]) / safe + left * p, p)
+    ids = read.ids(h)
+    c, k = read.of_words(ids, ("freq", "cont"))
+    n1_, n2_, _, _ = model.kinds
+    p = word_probability(model, k, (n1_, n2_, model.n_words - n1_ - n2_))
+    for order in range(2, model.order + 1 if model.pairs else 2):
+        at, columns = grams_of(ids, first, order, model.n_words)
+        count, (total, n1, n2, n3) = read.grams(columns)
+        d, some = np.asarray(model.discounts[order - 1]), total > 0
+        at, count, total = at[some], count[some], total[some]
+        left = (d[1] * n1[some] + d[2] * n2[some] + d[3] * n3[some]) / total
+        p[at] = (count - d[np.minimum(count, 3)]) / total + left * p[at]
     base = np.log10((c + 1) / (model.n_tokens + model.n_words + 1))
     at = first[:-1]
     return np.diff(first), np.add.reduceat((c > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)

@@ -165,36 +165,42 @@ def _tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), None]
 
 
-def _brute(train, texts):
+def _brute(train, texts, order=2):
     """Interpolated modified Kneser-Ney by its definition, with dictionaries."""
-    words, pairs = Counter(), Counter()
+    words, counts = Counter(), {k: Counter() for k in range(1, order + 1)}
     for t in train:
         seq = _tokens(t)
         words.update(seq)
-        pairs.update(zip(["<s>", *seq], seq))
-    before, after, total = Counter(v for _, v in pairs), defaultdict(Counter), Counter()
-    for (u, v), c in pairs.items():
-        after[u][min(c, 3)] += 1
-        total[u] += c
+        whole = ["<s>", *seq]
+        counts[order].update(tuple(whole[i : i + order]) for i in range(len(whole) - order + 1))
+        for k in range(2, order):  # what begins a text keeps its count
+            counts[k].update([tuple(whole[:k])] * (len(whole) >= k))
+    for k in range(order, 1, -1):
+        counts[k - 1].update(g[1:] for g in counts[k])
     tally = lambda xs: lm.discounts(*(sum(x == i for x in xs) for i in (1, 2, 3, 4)))
-    d2, d1 = tally(list(pairs.values())), tally(list(before.values()))
+    d = {k: tally(list(c.values())) for k, c in counts.items()}
+    after = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            after[k][g[:-1]][0] += n
+            after[k][g[:-1]][min(n, 3)] += 1
     n, v = sum(words.values()), len(words)
-    left1 = sum(d1[min(k, 3)] for k in before.values()) / max(1, len(pairs))
 
-    def unigram(w):
-        return (before[w] - d1[min(before[w], 3)]) / len(pairs) + left1 / (v + 1)
-
-    def bigram(u, w):
-        if not total[u]:
-            return unigram(w)
-        left = sum(d2[i] * after[u][i] for i in (1, 2, 3)) / total[u]
-        return (pairs[u, w] - d2[min(pairs[u, w], 3)]) / total[u] + left * unigram(w)
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        total, *kinds = after[len(g)].get(g[:-1], [0, 0, 0, 0])
+        if not total:
+            return lower
+        c, ds = counts[len(g)].get(g, 0), d[len(g)]
+        return (c - ds[min(c, 3)]) / total + sum(ds[i + 1] * kinds[i] for i in range(3)) / total * lower
 
     out = []
     for t in texts:
         seq = _tokens(t)
-        out.append((len(seq), sum(words[w] > 0 for w in seq), sum(math.log10((words[w] + 1) / (n + v + 1)) for w in seq), sum(math.log10(bigram(u, w)) for u, w in zip(["<s>", *seq], seq))))
-    one = [sum(bigram(u, w) for w in words) + bigram(u, "never seen") for u in ("<s>", "the", "never seen either")]
+        whole = ["<s>", *seq]
+        score = sum(math.log10(p(tuple(whole[max(0, i - order + 1) : i + 1]))) for i in range(1, len(whole)))
+        out.append((len(seq), sum(words[w] > 0 for w in seq), sum(math.log10((words[w] + 1) / (n + v + 1)) for w in seq), score))
+    one = [sum(p((*h, w)) for w in words) + p((*h, "never seen")) for h in (("<s>",), ("the",), ("never seen either",), ("of", "the")[: order - 1])]
     return n, out, one
 
 
@@ -212,6 +218,19 @@ def test_lm_query_equals_brute_force(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_orders(spark, monkeypatch, order):
+    docs = sorted(spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).collect(), key=lambda r: r.doc_id)
+    n, want, one = _brute([r.text for r in docs[::2]], [r.text for r in docs], order)
+    assert all(abs(x - 1) < 1e-9 for x in one)
+    monkeypatch.setattr(lm, "RANGE", 3000)  # many ranges, hot contexts dealt on their own
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id long, text string")
+    model = lm.train(spark.createDataFrame([(r.text,) for r in docs[::2]], "text string"), order=order)
+    assert len(model.hot) > 1 and len(model.discounts) == order
+    for r, w in zip(lm.score(df, model).orderBy("doc_id").collect(), want):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (w[0], w[1], n) and math.isclose(r.score, w[3], rel_tol=1e-9)
+
+
 def test_lm_edges(spark, monkeypatch):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "a b a b"), (2, "a b a b"), (3, "x " * 30000)], "doc_id long, text string")
     monkeypatch.setattr(lm, "RANGE", 100)  # many ranges, hot words dealt on their own
