@@ -205,6 +205,17 @@ def router_alerts(info: DataFrame, bucket_count: int) -> DataFrame:
     return info.select("rs_id", F.explode(F.filter(told, lambda a: a.isNotNull())).alias("a")).select("rs_id", "a.name", "a.message")
 
 
+def connections(log: DataFrame, now: Column, idle: float) -> DataFrame:
+    """(replica_id, connected, requests, stale) of a log (replica_id, seq, at, event): `connect`, `disconnect` and `request`
+    events. stale: connected, but without a request for `idle` seconds, so it can be closed."""
+    of = lambda *kinds: F.col("event").isin(*kinds)
+    seen = log.groupBy("replica_id").agg(
+        F.max_by("event", F.when(of("connect", "disconnect"), F.col("seq"))).alias("last"), F.max(F.when(of("connect", "request"), F.col("at"))).alias("used"), F.count_if(of("request")).alias("requests"),
+    )
+    up = F.coalesce(F.col("last") == "connect", F.lit(False))
+    return seen.select("replica_id", up.alias("connected"), "requests", (up & (now - F.col("used") >= idle)).alias("stale"))
+
+
 def load_report(log: DataFrame) -> DataFrame:
     """One row: operations, errors, mean latency and operations a second of a log (started, ended, ok)."""
     span = F.max("ended") - F.min("started")

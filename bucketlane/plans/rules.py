@@ -11,6 +11,7 @@ from bucketlane.operators import balance, calls, lifecycle, mapreduce, placement
 from bucketlane.plans.catalog import _log, _priorities, _refs, query
 from bucketlane.sources import demo, model
 from bucketlane.sources.demo import COUNT, crc_sql
+from bucketlane.streaming import background
 
 _RW, _RO = "('active', 'pinned')", "('active', 'pinned', 'sending', 'readonly')"
 
@@ -494,6 +495,52 @@ def map_references(spark, d) -> DataFrame:
     return got.select("rs_id", "made", F.array_join(F.transform("moved", lambda x: x.cast("string")), ",").alias("moved"))
 
 
+# -- background ------------------------------------------------------------------
+@query("""SELECT * FROM (WITH RECURSIVE p AS (SELECT rs_id, nk, priority, count(*) OVER (PARTITION BY rs_id) AS places FROM prio),
+  e AS (SELECT p.rs_id, event_id, epoch(ts) AS now, p.priority AS place, event_type NOT IN ('error', 'click') AS well, places, row_number() OVER (PARTITION BY p.rs_id ORDER BY event_id) AS n FROM events JOIN p ON p.nk = user_id % 25),
+  f AS (SELECT DISTINCT rs_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS ill, CAST(1 AS BIGINT) AS here, CAST(NULL AS DOUBLE) AS up FROM e
+    UNION ALL SELECT rs_id, n, event_id, ill, CASE WHEN list_contains(ill, h1) AND h1 < places THEN h1 + 1 ELSE h1 END, CASE WHEN due AND here = 1 AND NOT list_contains(ill, 1) THEN now ELSE up END
+    FROM (SELECT *, CASE WHEN due AND here > 1 THEN coalesce(list_min(list_filter(range(1, here), lambda x: NOT list_contains(ill, x))), here) ELSE here END AS h1
+      FROM (SELECT e.rs_id, e.n, e.event_id, e.now, e.places, f.here, f.up, f.up IS NULL OR e.now - f.up >= 20000 AS due,
+          CASE WHEN e.well THEN list_filter(f.ill, lambda x: x <> e.place) WHEN list_contains(f.ill, e.place) THEN f.ill ELSE list_append(f.ill, e.place) END AS ill FROM f JOIN e ON e.rs_id = f.rs_id AND e.n = f.n + 1)))
+  SELECT rs_id, event_id, here AS place FROM f WHERE n > 0)""")
+def failover_moves(spark, d) -> DataFrame:
+    p = _priorities(spark, d)
+    places = p.select("nk", "rs_id", F.col("priority").cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy("rs_id")).alias("places"))
+    e = demo.table(spark, d, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"), (~F.col("event_type").isin("error", "click")).alias("healthy"), (F.col("user_id") % 25).alias("nk"))
+    return background.failovers(e.join(F.broadcast(places), "nk").select("rs_id", "event_id", "now", "place", "healthy", "places"), 20000)  # a row a replica
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 10 AS owner, event_id, epoch(ts) AS now, CASE WHEN event_type = 'click' THEN 2 WHEN event_type = 'view' THEN 1 END AS wake, CASE WHEN event_type = 'error' THEN user_id % 2 + 1 END AS fails, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events),
+  f AS (SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS fails, CAST([0, 0] AS DOUBLE[]) AS due, [false, false] AS ran FROM e
+    UNION ALL SELECT owner, n, event_id, fails, list_transform([1, 2], lambda k: CASE WHEN NOT ran[k] THEN due[k] WHEN fails = k THEN 0 ELSE now + [40000.0, 90000.0][k] END), ran
+    FROM (SELECT *, list_transform([1, 2], lambda k: now >= due[k]) AS ran FROM (SELECT e.owner, e.n, e.event_id, e.now, e.fails, list_transform([1, 2], lambda k: CASE WHEN e.wake = k THEN 0 ELSE f.due[k] END) AS due FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)))
+  SELECT owner, event_id, ['failover', 'recovery'][k] AS service, fails IS DISTINCT FROM k AS ok FROM (SELECT *, unnest([1, 2]) AS k FROM f WHERE n > 0) WHERE ran[k]""")
+def service_runs(spark, d) -> DataFrame:
+    t, names = F.col("event_type"), F.array(F.lit("failover"), F.lit("recovery"))
+    wake = F.when(t == "click", "recovery").when(t == "view", "failover")
+    fails = F.when(t == "error", F.element_at(names, (F.col("user_id") % 2 + 1).cast("int")))
+    rows = demo.table(spark, d, "events").select((F.col("user_id") % 10).alias("owner"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("now"), wake.alias("wake"), fails.alias("fails"))
+    return background.worker_runs(rows, {"failover": 40000, "recovery": 90000})
+
+
+@query("""SELECT user_id % 25 AS replica_id, coalesce(arg_max(event_type, event_id) FILTER (event_type IN ('signup', 'error')) = 'signup', false) AS connected, count(*) FILTER (event_type NOT IN ('signup', 'error')) AS requests,
+  coalesce(arg_max(event_type, event_id) FILTER (event_type IN ('signup', 'error')) = 'signup', false) AND (SELECT max(event_id) FROM events) - max(event_id) FILTER (event_type <> 'error') >= 20 AS stale FROM events GROUP BY 1""")
+def connection_states(spark, d) -> DataFrame:
+    t, e = F.col("event_type"), demo.table(spark, d, "events")
+    log = e.select((F.col("user_id") % 25).alias("replica_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("at"), F.when(t == "signup", "connect").when(t == "error", "disconnect").otherwise("request").alias("event"))
+    return topology.connections(log, F.lit(e.agg(F.max("event_id")).first()[0]), 20)
+
+
+@query("SELECT n.id, n.rs_id, o_n FROM (SELECT replica_id AS id, rs_id FROM replicas WHERE nk IN (3, 7)) n JOIN (SELECT rs_id, count(*) AS o_n FROM cust JOIN routes USING (bucket_id) GROUP BY rs_id) c ON c.rs_id = n.rs_id")
+def replica_calls(spark, d) -> DataFrame:
+    r = demo.replicas(spark, d)
+    e = engine.Engine(spark, model.Config(bucket_count=COUNT), demo.buckets(spark, d), demo.shards(spark, d), r, name=None)
+    e.register("customer", demo.customers(spark, d))
+    rows = [(x.replica_id, x.rs_id, e.replica_call(x.replica_id, lambda t: t["customer"].count())) for x in r.where("nk in (3, 7)").collect()]
+    return spark.createDataFrame(rows, "id string, rs_id string, o_n long")
+
+
 # -- transfers and plans ---------------------------------------------------------
 _TRANSFERS = "SELECT event_id AS seq, user_id % 50 AS id, CASE WHEN event_type IN ('view', 'click') THEN 'start' ELSE 'end' END AS op FROM events"
 

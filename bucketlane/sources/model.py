@@ -23,8 +23,8 @@ SCHEMA_VERSIONS = {"0.1.15.0": ("id", "status", "destination"), "0.1.16.0": (),
 # Limits and intervals in seconds.
 CHUNK = 1000
 SENT_GARBAGE_DELAY = 60
-FAILOVER_DOWN_TIMEOUT, FAILOVER_DOWN_FAILS = 1, 3
-REPLICA_BACKOFF, REPLICA_LAG_LIMIT = 5, 30
+FAILOVER_DOWN_TIMEOUT, FAILOVER_UP_TIMEOUT, FAILOVER_DOWN_FAILS = 1, 5, 3
+REPLICA_BACKOFF, REPLICA_LAG_LIMIT, TIMEOUT_INFINITY = 5, 30, 500 * 365 * 86400
 CALL_TIMEOUT_MIN, CALL_TIMEOUT_MAX = 0.5, 64
 RATELIMIT_INTERVAL = 30
 REF_QUOTA, MOVE_QUOTA = 300, 1
@@ -126,6 +126,11 @@ def alert(name: str, message: Column | str) -> Column:
     return F.struct(F.lit(name).alias("name"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
+# Options without effect, and the values of options that have a few.
+DEPRECATED = ("collect_bucket_garbage_interval", "collect_lua_garbage")
+ENUMS = {"box_cfg_mode": ("auto", "manual"), "schema_management_mode": ("auto", "manual_access"), "identification_mode": ("uuid_as_key", "name_as_key")}
+
+
 @dataclass
 class Config:
     """Cluster options with their defaults; `check` raises ValueError for what they don't allow."""
@@ -139,6 +144,15 @@ class Config:
     discovery_mode: str = "on"
     failover_ping_timeout: float = 5
     sync_timeout: float = 1
+    rebalancer_bucket_send_timeout: float = TIMEOUT_INFINITY
+    connection_outdate_delay: float | None = None
+    failover_sequential_fail_count: int = FAILOVER_DOWN_FAILS
+    failover_interval: float = FAILOVER_DOWN_TIMEOUT
+    failover_replica_lag_limit: float = REPLICA_LAG_LIMIT
+    box_cfg_mode: str = "auto"
+    schema_management_mode: str = "auto"
+    identification_mode: str = "uuid_as_key"
+    connection_fetch_schema: bool = True
     sched_ref_quota: int = REF_QUOTA
     sched_move_quota: int = MOVE_QUOTA
     zone: str | int | None = None
@@ -147,8 +161,9 @@ class Config:
 
     @classmethod
     def from_dict(cls, options: dict) -> tuple["Config", dict]:
-        """The engine's options, and the others."""
+        """The engine's options, and the others. Options that had a meaning once are left out."""
         known = {f.name for f in fields(cls)}
+        options = {k: v for k, v in options.items() if k not in DEPRECATED}
         return cls(**{k: v for k, v in options.items() if k in known}), {k: v for k, v in options.items() if k not in known}
 
     @classmethod
@@ -166,13 +181,23 @@ class Config:
             if isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0 or (v == 0 and not zero) or not math.isfinite(v):
                 raise ValueError(f"{name} must be a {'non-negative' if zero else 'positive'} number")
 
-        for name in ("bucket_count", "rebalancer_max_receiving", "rebalancer_max_sending"):
+        for name in ("bucket_count", "rebalancer_max_receiving", "rebalancer_max_sending", "failover_sequential_fail_count"):
             positive(name)
             if int(getattr(self, name)) != getattr(self, name):
                 raise ValueError(f"{name} must be whole")
         for name in ("rebalancer_disbalance_threshold", "sync_timeout", "sched_ref_quota", "sched_move_quota"):
             positive(name, zero=True)
-        positive("failover_ping_timeout")
+        for name in ("failover_ping_timeout", "rebalancer_bucket_send_timeout", "failover_interval", "failover_replica_lag_limit"):
+            positive(name)
+        if self.connection_outdate_delay is not None:
+            positive("connection_outdate_delay", zero=True)
+        for name, allowed in ENUMS.items():
+            if getattr(self, name) not in allowed:
+                raise ValueError(f"{name} must be one of {', '.join(allowed)}")
+        if not isinstance(self.connection_fetch_schema, bool):
+            raise ValueError("connection_fetch_schema must be true or false")
+        if self.zone is not None and (isinstance(self.zone, bool) or not isinstance(self.zone, (str, int, float))):
+            raise ValueError("zone must be a text or a number")
         if self.rebalancer_max_sending > MAX_SENDING_LIMIT:
             raise ValueError(f"rebalancer_max_sending must not exceed {MAX_SENDING_LIMIT}")
         if self.discovery_mode not in ("on", "off", "once") or self.rebalancer_mode not in ("auto", "manual", "off"):
@@ -214,6 +239,12 @@ class Config:
                     seen.add(x)
                 masters += bool(r.get("master"))
                 flags += r.get("rebalancer") is True
+                if "uuid" in r and self.identification_mode != "name_as_key":
+                    raise ValueError(f"{name} can have a uuid only if names identify instances")
+                if "name" in r and self.identification_mode != "uuid_as_key":
+                    raise ValueError(f"{name} can have a name only if uuids identify instances")
+                if r.get("rebalancer") and s.get("rebalancer") is False:
+                    raise ValueError(f"{rs} can't rebalance, but its instance {name} should")
                 if "uuid" in r and not re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r["uuid"]):
                     raise ValueError(f"uuid of {name} is malformed")
             if masters > 1:

@@ -184,3 +184,59 @@ def test_events_and_raw_rows(spark):
     assert sorted((r.event, r.id, r.spaces) for r in lifecycle.events(b, after, ["u", "t"]).collect()) == [("bucket_data_gc_txn", 1, "t,u"), ("bucket_data_recv_txn", 3, "t,u")]
     raw = spark.createDataFrame([("t", '{"id": 1, "x": "a"}'), ("t", "{"), ("t", None)], "space string, row string")
     assert [(r.id, r.error) for r in lifecycle.decode(raw, "id long, x string").collect()] == [(1, None), (None, "BUCKET_RECV_DATA_ERROR"), (None, "BUCKET_RECV_DATA_ERROR")]
+
+
+def test_background_and_reload(engine, spark):
+    seen = []
+    engine.function("work", lambda data: seen.append(("old", data)) or 0.01)
+    thread = engine.background("work", 7)
+    while len(seen) < 3:
+        time.sleep(0.01)
+
+    def broken(data):
+        raise RuntimeError("on purpose")
+
+    engine.function("work", broken)
+    while thread.failures < 2:
+        thread.wakeup()
+        time.sleep(0.01)
+    engine.routes[1] = "a"
+    new = engine.reload(_functions={"work": lambda data: seen.append(("new", data)) or 0.01})
+    while ("new", 7) not in seen:
+        thread.wakeup()
+        time.sleep(0.01)
+    assert thread.stop(5) and new.routes == {1: "a"} and Engine.instances["calls"] is new and new.callro(1, lambda t: t["t"].count()) == 4
+    with pytest.raises(BucketError) as e:
+        engine.callro(1, lambda t: 0)
+    assert e.value.name == "OBJECT_IS_OUTDATED"
+
+
+def test_replica_calls_and_disabled_shards(engine):
+    assert engine.replica_call("a2", lambda t: t["t"].count()) == 8 and engine.master_call("b", lambda t: t["t"].count()) == 4
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            engine.replica_call("a2", lambda t: 1 / 0)
+    assert engine.fails["a2"] == 2
+    with pytest.raises(BucketError) as e:
+        engine.replica_call("a2", lambda t: time.sleep(1), timeout=0.05)
+    assert e.value.name == "TIMEOUT" and engine.fails["a2"] == 3
+    engine.replica_call("a2", lambda t: 0)
+    assert engine.fails["a2"] == 0
+    engine.storage_disable("a")
+    for call in (lambda: engine.callro(1, lambda t: 0), lambda: engine.replica_call("a1", lambda t: 0)):
+        with pytest.raises(BucketError) as e:
+            call()
+        assert e.value.name == "STORAGE_IS_DISABLED"
+    assert engine.callro(2, lambda t: 1) == 1
+    engine.storage_enable("a")
+    assert engine.callro(1, lambda t: 1) == 1
+
+
+@pytest.mark.parametrize("options, ok", [
+    ({"failover_sequential_fail_count": 0}, False), ({"failover_interval": 0}, False), ({"connection_outdate_delay": 0}, True), ({"connection_outdate_delay": -1}, False), ({"box_cfg_mode": "manual"}, True),
+    ({"schema_management_mode": "manual"}, False), ({"identification_mode": "name"}, False), ({"connection_fetch_schema": 1}, False), ({"collect_lua_garbage": True}, True), ({"zone": True}, False),
+    ({"sharding": {"a": {"rebalancer": False, "replicas": {"a1": {"uri": "x", "rebalancer": True}}}}}, False), ({"sharding": {"a": {"replicas": {"a1": {"uri": "x", "uuid": "12345678-1234-1234-1234-123456789abc"}}}}}, False),
+    ({"identification_mode": "name_as_key", "sharding": {"a": {"replicas": {"a1": {"uri": "x", "uuid": "12345678-1234-1234-1234-123456789abc"}}}}}, True),
+])
+def test_options(options, ok):
+    assert (Config.problem(options) is None) == ok
