@@ -85,8 +85,8 @@ _INTEGERS = [
 def crc32c(data: Column) -> Column:
     """CRC of a binary column as long; null for null. Steps over the bytes with the table as a literal array."""
     steps = F.lit(_TABLE).cast("array<bigint>")
-    digits = F.hex(data)
-    byte = lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint")
+    each = F.decode(data, "ISO-8859-1")  # a character for each byte
+    byte = lambda i: F.ascii(F.substr(each, i, F.lit(1))).cast("bigint")
     walk = F.aggregate(
         F.sequence(F.lit(1), F.octet_length(data)), F.lit(START).cast("bigint"),
         lambda c, i: F.shiftrightunsigned(c, 8).bitwiseXOR(F.element_at(steps, (c.bitwiseXOR(byte(i)).bitwiseAND(F.lit(255)) + 1).cast("int"))),

@@ -172,12 +172,15 @@ def states(buckets: DataFrame, shards: DataFrame, bucket_count: int | None = Non
 def plan(buckets: DataFrame, shards: DataFrame, threshold: float = DISBALANCE_THRESHOLD, workers: int = 1, max_receiving: int = MAX_RECEIVING, bucket_count: int | None = None) -> DataFrame:
     """The moves (bucket_id, src, dst, seq, batch, wave) of one rebalancing; none if no shard is off by more than
     `threshold` percent."""
+    here = buckets.sparkSession.createDataFrame
     now = states(buckets, shards, bucket_count)
-    total = now.agg(F.sum("bucket_count")).first()[0] or 0
+    now = here(now.collect(), now.schema)  # a row for each shard: counted once, and then a local table
+    total = sum(r.bucket_count for r in now.collect())
     measured = disbalance(etalon(now, int(total)))
-    worst = measured.agg(F.max("disbalance")).first()[0]
+    told = measured.collect()
+    measured = here(told, measured.schema)
     ways = routes(measured)
-    if worst is None or worst <= threshold:
+    if max((r.disbalance for r in told), default=0) <= threshold:
         ways = ways.limit(0)
     turns = dispense(ways)
     wanted = ways.groupBy("src").agg(F.sum("count").alias("count")).withColumnRenamed("src", "rs_id")

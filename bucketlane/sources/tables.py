@@ -17,7 +17,10 @@ def save(df: DataFrame, name: str, files: int, column: str = "bucket_id", path:
 
 
 def colocated(spark: SparkSession, left: str, right: str, keys: list[str], column: str = "bucket_id") -> DataFrame:
-    """Inner join of two saved tables on the bucket column and keys, within each bucket file. Sets CO_PARTITION to false for
-    the session."""
-    spark.conf.set(CO_PARTITION, "false")
-    return spark.table(left).hint("merge").join(spark.table(right), [column, *keys])
+    """Inner join of two saved tables on the bucket column and keys, within each bucket file. It's planned in a session of its
+    own, where CO_PARTITION is false; plans of the given session stay as they are."""
+    own = spark.newSession()
+    for option in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(option, spark.conf.get(option))
+    own.conf.set(CO_PARTITION, "false")
+    return own.table(left).hint("merge").join(own.table(right), [column, *keys])

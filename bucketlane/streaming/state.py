@@ -40,13 +40,17 @@ def fold(df: DataFrame, key: str, order: list[str], step: Step, schema: str) ->
     return ordered.mapInPandas(run, schema)
 
 
-def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """The same over a stream; rows of one trigger are ordered, state is kept as JSON between triggers."""
+def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, schema: str, expire: float | None = None) -> DataFrame:
+    """The same over a stream; rows of one trigger are ordered, state is kept as JSON between triggers. expire: seconds
+    without rows after which a key's state says nothing any more and is dropped."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(_, frames, held):
         import pandas as pd
 
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = json.loads(held.get[0]) if held.exists else {}
         out = []
         # a trigger's rows of one key
@@ -54,10 +58,12 @@ def fold_stream(df: DataFrame, key: str, order: list[str], step: Step, schema: s
         for row in sorted(rows, key=lambda r: tuple(r[c] for c in order)):
             out += step(state, row)
         held.update((json.dumps(state),))
+        if expire is not None:
+            held.setTimeoutDuration(max(1, int(expire * 1000)))
         if out:
             yield pd.DataFrame(out)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def replayed(df: DataFrame, order: str, operator: Callable, triggers: int = 3, **options) -> DataFrame:
@@ -207,7 +213,8 @@ RATELIMIT_SCHEMA = "key string, event_id long, passes boolean, suppressed_before
 def ratelimit(df: DataFrame, interval: float = RATELIMIT_INTERVAL, streaming: bool = False) -> DataFrame:
     """Rows of null key (unsigned entries) always pass; they aren't kept in state."""
     free = df.where("key is null").select(F.lit(None).cast("string").alias("key"), "event_id", F.lit(True).alias("passes"), F.lit(0).cast("long").alias("suppressed_before"))
-    return (fold_stream if streaming else fold)(df.where("key is not null"), "key", ["event_id"], ratelimit_step(interval), RATELIMIT_SCHEMA).unionByName(free)
+    signed = df.where("key is not null"), "key", ["event_id"], ratelimit_step(interval), RATELIMIT_SCHEMA
+    return (fold_stream(*signed, expire=interval) if streaming else fold(*signed)).unionByName(free)
 
 
 def timeout_step(state: dict, row: dict) -> list[dict]:
@@ -254,4 +261,5 @@ REDIRECT_SCHEMA = "bucket_id long, event_id long, dst string"
 
 
 def redirects(df: DataFrame, ttl: float = 60, streaming: bool = False) -> DataFrame:
-    return (fold_stream if streaming else fold)(df, "bucket_id", ["event_id"], redirect_step(ttl), REDIRECT_SCHEMA)
+    how = df, "bucket_id", ["event_id"], redirect_step(ttl), REDIRECT_SCHEMA
+    return fold_stream(*how, expire=2 * ttl) if streaming else fold(*how)

@@ -14,7 +14,7 @@ def test_colocated_join_has_no_exchange(spark, tmp_path):
         got = tables.colocated(spark, "t_customers", "t_orders", ["k"])
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
         assert got.count() == c.join(o, ["bucket_id", "k"]).count() > 0
+        assert spark.conf.get(tables.CO_PARTITION) == "true"  # other plans stay as they are
     finally:
-        spark.conf.unset(tables.CO_PARTITION)
         spark.sql("drop table t_customers")
         spark.sql("drop table t_orders")
