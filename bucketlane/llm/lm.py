@@ -61,7 +61,7 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys, ascending, and the sums of each one's values."""
     if not len(keys):
         return [keys, *values]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return [keys[at], *(np.add.reduceat(v[order], at) for v in values)]
@@ -142,9 +142,10 @@ class Model:
     def deal(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, hash of the context, range) of n-grams, given by columns of ids."""
         context, hot = np.zeros(len(grams[0]), np.uint64), np.ones(len(grams[0]), bool)
+        often = np.asarray(self.hot, np.int64)  # ascending, never empty
         for c in grams[:-1]:
             context = _link(context, c)
-            hot &= np.isin(c, np.asarray(self.hot, c.dtype))
+            hot &= often[np.minimum(np.searchsorted(often, c), len(often) - 1)] == c
         key = _link(context, grams[-1])
         part = ((context >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
         part[hot] = self.parts + ((key[hot] >> np.uint64(20)) % np.uint64(self.parts)).astype(np.int64)
@@ -180,7 +181,7 @@ class Grams:
         """(columns, counts, hashes, contexts, ranges) of distinct n-grams, by hash."""
         whole = [np.concatenate([np.zeros(0, np.int64 if i == self.order else np.uint32), *(p[i] for p in self.parts)]) for i in range(self.order + 1)]
         key, context, part = self.model.deal(whole[:-1])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(order) else np.zeros(0, np.int64)
         pick = order[at]
         count = np.add.reduceat(whole[-1][order], at) if len(at) else whole[-1]
@@ -414,10 +415,8 @@ def train(texts: DataFrame, folder: str | None = None, order: int = ORDER) -> Mo
             for k, g in sums.items():
                 at, columns = grams_of(ids, first, k, model.n_words, k < order)
                 g.add(columns, np.ones(len(at), np.int64))
-            if sums[order].held > HELD:
-                sums[order].settle()
-                if sums[order].held > HELD // 2:
-                    yield _levels([b for g in sums.values() for b in g.blocks()])
+            if sums[order].held > 2 * HELD:
+                yield _levels([b for g in sums.values() for b in g.blocks()])
         if any(g.held for g in sums.values()):
             yield _levels([b for g in sums.values() for b in g.blocks()])
 
