@@ -12,7 +12,7 @@ They are cut into spans that are chained across languages, so transitions see sw
 There may be any number of languages; one number of each comes to the driver.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; without labelled texts all is `und`; ties go to
-the language that sorts first; repeated rows get equal results.
+the language that sorts first; repeated rows get equal results. Letters are what Unicode calls so.
 """
 
 from __future__ import annotations
@@ -419,12 +419,16 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def keep_identified(df: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
-    """The rows whose text has a language of at least this score, all columns as they are."""
+    """The rows whose text has a language of at least this score, all columns as they are. A model without languages rejects
+    only texts that have no letter."""
     ship(df.sparkSession)
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(batches):
         for b in batches:
+            if not shared.value.langs:
+                yield b.filter(pa.array([any(map(str.isalpha, x.as_py() or "")) for x in b.column(at)], pa.bool_()))
+                continue
             got = [p for some in _batches(b.column(at), _chunk(shared.value)) for p in predict(shared.value, some)]
             yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in got], pa.bool_()))
 

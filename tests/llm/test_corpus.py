@@ -246,6 +246,43 @@ def test_lm_edges(spark, monkeypatch):
 
 
 # -- pipeline --------------------------------------------------------------
+def test_stages_without_labels_or_languages(spark, tmp_path):
+    """Documents of which none has a label, a language or a benchmark item pass all stages; texts without letters don't."""
+    import corpus_pipeline
+
+    rows = [(i, f"some words of document number {'abcdefghij'[i]} that nobody has seen", None, None, 40, "x") for i in range(8)] + [(8, "1 2 3", None, None, 5, "x"), (9, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    spark.createDataFrame([(77, 1, 0), (None, 0, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[:6] == ["doc_id", "text", "lang", "source", "n_chars", "row"]
+    got = docs.collect()
+    assert 0 < len(got) <= 8 and all(r.n_tokens == len(r.token_ids) > 0 and r.row == "x" for r in got)
+    empty = docs.limit(0).drop("token_ids", "n_tokens")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+
+
+def test_inner_names_of_stages(spark):
+    names = ["row", "row_", "n", "__row", "__kept", "kept", "fp", "component_id", "text_"]
+    rows = [(i, f"words {'one two three four five six'.split()[i % 3]} and more of the same kind {i % 3}", *names) for i in (1, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, "never seen words in this order at all by anyone ever")], "item_id long, text string")
+    for out in (simhash.representatives(df), simhash.representatives(df.where("doc_id > 1")), decontam.clean(df, bench), decontam.clean(df, bench, most=-1)):
+        assert out.columns == df.columns and all([r[n] for n in names] == names for r in out.collect()) and out.count()
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Different documents that share an id, or have none, all stay; of copies one does."""
+    far = ["alpha beta gamma delta", "one two three four five", "red green blue black", "north south east west wind", "cat dog cow horse"]
+    df = spark.createDataFrame([(None, far[0]), (None, far[1]), (None, far[2]), (5, far[3]), (5, far[4])], "doc_id long, text string")
+    assert simhash.representatives(df).count() == 5
+    df = spark.createDataFrame([(1, far[0]), (5, far[0]), (5, far[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.representatives(df).collect()) == [(1, far[0]), (5, far[1])]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", "doc_id as score", "'x' as fp")
     columns = docs.columns
