@@ -123,7 +123,7 @@ def schema_versions(spark, d) -> DataFrame:
     return demo.table(spark, d, "part").select("p_partkey", F.when(v < base, -1).when(v > base, 1).otherwise(0).alias("cmp"))
 
 
-@query("SELECT id, status, destination, 0 AS generation, CAST(NULL AS VARCHAR) AS rs_id FROM buckets")
+@query("SELECT id, status, destination, CAST(0 AS BIGINT) AS generation, CAST(NULL AS VARCHAR) AS rs_id FROM buckets")
 def schema_upgrade(spark, d) -> DataFrame:
     old = model.downgrade(demo.buckets(spark, d), "0.1.15.0").drop("rs_id")
     return model.upgrade(old).select("id", "status", "destination", model.generation().alias("generation"), "rs_id")
@@ -243,7 +243,7 @@ def instance_status(spark, d) -> DataFrame:
     return demo.replicas(spark, d).select("replica_id", topology.instance_info(nk % 4 != 0, nk % 4 != 1).alias("status"))
 
 
-@query("SELECT f.rs_id, count(*) AS bucket_count, 0 AS pinned FROM fresh f WHERE f.rs_id <> (SELECT min(rs_id) FROM shards) GROUP BY f.rs_id")
+@query("SELECT f.rs_id, count(*) AS bucket_count, CAST(0 AS BIGINT) AS pinned FROM fresh f WHERE f.rs_id <> (SELECT min(rs_id) FROM shards) GROUP BY f.rs_id")
 def cluster_states(spark, d) -> DataFrame:
     s = demo.shards(spark, d)
     locked = s.withColumn("lock", F.col("rs_id") == F.min("rs_id").over(Window.partitionBy()))
@@ -393,7 +393,7 @@ def config_split(spark, d) -> DataFrame:
     return spark.createDataFrame(names, "option string, own boolean")
 
 
-@query("SELECT replica_id, uri, CASE WHEN nk % 3 = 0 THEN nk ELSE 0 END AS fails, CASE WHEN nk % 3 = 0 THEN 2.0 ELSE 0.5 END AS timeout FROM replicas")
+@query("SELECT replica_id, uri, CASE WHEN nk % 3 = 0 THEN nk ELSE 0 END AS fails, CAST(CASE WHEN nk % 3 = 0 THEN 2.0 ELSE 0.5 END AS DOUBLE) AS timeout FROM replicas")
 def topology_rebind(spark, d) -> DataFrame:
     r = demo.replicas(spark, d).select("replica_id", "uri", "nk")
     old = r.select("replica_id", F.when(F.col("nk") % 3 == 0, F.col("uri")).otherwise("elsewhere").alias("uri"), F.col("nk").alias("fails"), F.lit(1).alias("oks"), F.lit(2.0).alias("timeout"))
@@ -420,7 +420,7 @@ def background_services(spark, d) -> DataFrame:
     return spark.createDataFrame(sorted(topology.services({"discovery": "off", "rebalancer": "off"}, True, True).items()), "service string, runs boolean")
 
 
-@query("SELECT a AS zone, b AS other, w AS weight FROM (VALUES ('1', '0', 2.0), ('1', '1', 0.0), ('2', '1', 5.0), ('2', '2', 0.0)) t(a, b, w)")
+@query("SELECT a AS zone, b AS other, CAST(w AS DOUBLE) AS weight FROM (VALUES ('1', '0', 2.0), ('1', '1', 0.0), ('2', '1', 5.0), ('2', '2', 0.0)) t(a, b, w)")
 def zone_weights(spark, d) -> DataFrame:
     return spark.createDataFrame(topology.zone_rows(model.Config(weights={"1": {"0": 2.0}, "2": {"1": 5.0}}).check().weights), "zone string, other string, weight double")
 
