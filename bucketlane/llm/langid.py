@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,13 +352,13 @@ def label_words(model: Model, text: str) -> list[tuple[str, str]]:
     return [(w, model.langs[i]) for w, i in zip(words, labels)]
 
 
-def excerpts(text: str, most: int = EXCERPT, places: int = PLACES) -> str:
+def excerpts(text: str, seed: int = 0, most: int = EXCERPT, places: int = PLACES) -> str:
     """The text, or if it's longer than `most` characters about as many from `places` places at equal distances, the first of
-    which is told by the text's hash. Each has whole words, unless there are hardly any blanks, and a line of its own."""
+    which the seed tells. Each has whole words, unless there are hardly any blanks, and a line of its own."""
     if len(text) <= most:
         return text
     step, size = len(text) // places, most // places
-    at = xxhash.xxh32_intdigest(text[:4096]) % step
+    at = seed % step
     out = []
     for a in range(at, len(text), step):
         words = text[max(0, a - 1) : a + size + 1].split()
@@ -380,7 +379,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([excerpts(x.as_py()) for x in b.column(2)], pa.string())], ["lang", "h", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([excerpts(x, h) for h, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.string())], ["lang", "h", "text"])
 
     # at most about 2 * per_lang distinct texts of each language, of bounded size
     got = some.mapInArrow(lean(run), "lang string, h long, text string").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
