@@ -360,7 +360,7 @@ def excerpts(text: str, seed: int = 0, most: int = EXCERPT, places: int = PLACES
     step, size = len(text) // places, most // places
     at = seed % step
     out = []
-    for a in range(at, len(text), step):
+    for a in range(at, at + step * places, step):
         words = text[max(0, a - 1) : a + size + 1].split()
         out.append(" ".join(words[1:-1] if len(words) > 2 else words))
     return "\n".join(out)
