@@ -33,10 +33,12 @@ def aggregate(data: DataFrame, buckets: DataFrame, bucket_count: int, *aggs: Col
     return data.join(placement.small(mine, bucket_count), bucket).groupBy("rs_id").agg(*aggs)
 
 
-def split_args(args: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(rs_id, args): of (bucket_id, args) rows, each shard's map of its buckets' arguments."""
+def split_args(args: DataFrame, buckets: DataFrame, size: int | None = None) -> DataFrame:
+    """(rs_id, args): of (bucket_id, args) rows, each shard's map of its buckets' arguments. With `size` it comes in rows
+    (rs_id, chunk, args) of buckets from chunk * size + 1 on."""
     rows = args.join(placement.route_map(buckets), "bucket_id")
-    return rows.groupBy("rs_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket_id", "args")))).alias("args"))
+    by = ["rs_id"] if size is None else ["rs_id", F.floor((F.col("bucket_id") - 1) / F.lit(size)).alias("chunk")]
+    return rows.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket_id", "args")))).alias("args"))
 
 
 def apply(data: DataFrame, buckets: DataFrame, bucket_count: int, fn: Callable, schema: str, args: DataFrame | None = None, bucket: str = "bucket_id", parts: int = 1, merge: Callable | None = None) -> DataFrame:

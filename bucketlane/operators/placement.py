@@ -70,10 +70,12 @@ def resolve(rows: DataFrame, routes: DataFrame, bucket_count: int, reachable: Da
     return out.withColumn("error", error).drop("__up")
 
 
-def group(ids: DataFrame, routes: DataFrame) -> DataFrame:
-    """(rs_id, bucket_ids): distinct ids by shard, ascending. A shard's list has no more items than it has buckets."""
+def group(ids: DataFrame, routes: DataFrame, size: int | None = None) -> DataFrame:
+    """(rs_id, bucket_ids): distinct ids by shard, ascending. A shard's list has no more items than it has buckets; with `size`
+    it comes in rows (rs_id, chunk, bucket_ids) of ids from chunk * size + 1 on, of at most `size` items each."""
     rows = ids.select("bucket_id").distinct().join(routes, "bucket_id")
-    return rows.groupBy("rs_id").agg(F.array_sort(F.collect_list("bucket_id")).alias("bucket_ids"))
+    by = ["rs_id"] if size is None else ["rs_id", F.floor((F.col("bucket_id") - 1) / F.lit(size)).alias("chunk")]
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list("bucket_id")).alias("bucket_ids"))
 
 
 def discovery_page(buckets: DataFrame, start: int = 1, limit: int = CHUNK) -> DataFrame:

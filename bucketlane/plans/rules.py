@@ -487,6 +487,19 @@ def call_futures(spark, d) -> DataFrame:
     return spark.createDataFrame([(b, f.result(600)) for b, f in asked.items()], "bucket_id long, n long")
 
 
+@query("SELECT rs_id, (bucket_id - 1) // 100 AS chunk, string_agg(CAST(bucket_id AS VARCHAR), ',' ORDER BY bucket_id) AS ids FROM (SELECT DISTINCT bucket_id FROM ord) JOIN routes USING (bucket_id) GROUP BY ALL")
+def buckets_group_chunks(spark, d) -> DataFrame:
+    got = placement.group(demo.orders(spark, d), placement.route_map(demo.buckets(spark, d)), 100)
+    return got.select("rs_id", "chunk", F.array_join(F.col("bucket_ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT rs_id, (bucket_id - 1) // 500 AS chunk, string_agg(bucket_id || ':' || bucket_id * 10, ',' ORDER BY bucket_id) AS args FROM (SELECT * FROM routes WHERE bucket_id % 20 = 1) GROUP BY ALL")
+def split_args_chunks(spark, d) -> DataFrame:
+    args = spark.range(1, COUNT + 1).where("id % 20 = 1").select(F.col("id").alias("bucket_id"), (F.col("id") * 10).alias("args"))
+    text = F.transform(F.map_entries("args"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
+    return mapreduce.split_args(args, demo.buckets(spark, d), 500).select("rs_id", "chunk", F.array_join(text, ",").alias("args"))
+
+
 @query("""SELECT f.rs_id, NOT bool_and(m.id IS NULL) AS made, coalesce(string_agg(CASE WHEN m.id IS NULL THEN CAST(f.id AS VARCHAR) END, ',' ORDER BY f.id), '') AS moved
   FROM fresh f LEFT JOIN (SELECT * FROM moved WHERE status IN ('active', 'pinned')) m ON m.id = f.id AND m.rs_id = f.rs_id WHERE f.id % 50 < 4 GROUP BY f.rs_id""")
 def map_references(spark, d) -> DataFrame:
