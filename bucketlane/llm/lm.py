@@ -67,6 +67,17 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[at], *(np.add.reduceat(v[order], at) for v in values)]
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending, where one of each is, and the number of each item's value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 class Sums:
     """Running sums by key; `most` bounds what is held before equal keys are put together."""
 
@@ -210,7 +221,7 @@ class Reader:
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Word ids, -1 for unknown ones."""
-        known, back = np.unique(h, return_inverse=True)
+        known, _, back = distinct(h)
         out = np.full(len(known), -1, np.int64)
         part = self.m.word_range(known)
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -224,7 +235,7 @@ class Reader:
 
     def of_words(self, ids: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """Columns of word statistics; 0 for ids of -1."""
-        known, back = np.unique(ids, return_inverse=True)
+        known, _, back = distinct(ids)
         out = [np.zeros(len(known), np.int64) for _ in names]
         real = np.flatnonzero(known >= 0)
         part = self.m.id_range(known[real])
@@ -238,7 +249,8 @@ class Reader:
     def _found(self, part: np.ndarray, key: np.ndarray, keys: str, values: tuple[str, ...]) -> list[np.ndarray]:
         """Values of keys in the files of their ranges, 0 for unknown ones."""
         out = [np.zeros(len(key), np.int64) for _ in values]
-        order = np.lexsort((key, part))
+        # by range and key, but for the key's last bits
+        order = np.argsort(part.astype(np.uint64) << np.uint64(44) | key >> np.uint64(20)) if not len(part) or int(part.max()) < 1 << 20 else np.lexsort((key, part))
         part, key = part[order], key[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -256,7 +268,7 @@ class Reader:
         k = len(columns)
         key, context, part = self.m.deal(columns)
         count = self._found(part, key, f"key{k}", (f"count{k}",))[0]
-        once, back = np.unique(context, return_index=True, return_inverse=True)[1:]
+        _, once, back = distinct(context)
         hot = part[once] >= self.m.parts
         names = [[f"{n}{k}" for n in ("total", "n1_", "n2_", "n3_")], [f"hot-{n}{k}" for n in ("total", "n1_", "n2_", "n3_")]]
         stats = [np.zeros(len(once), np.int64) for _ in range(4)]
