@@ -93,7 +93,7 @@ _CC = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
 _CC_NAMES = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 _SPDX = [
     "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "Unlicense", "EPL-1.0", "EPL-2.0", "Zlib", "BSL-1.0", "Artistic-2.0", "WTFPL", "EUPL-1.2", "0BSD", "CDDL-1.0", "OFL-1.1",
-    "MS-PL", "PostgreSQL", "PSF-2.0", "MIT-0", "Apache-1.1", "BSD-4-Clause", "MPL-1.1", "AFL-3.0", "NCSA", "UPL-1.0", "CECILL-2.1", "Python-2.0", "Ruby", "Vim", "X11", "curl", "libpng-2.0", "BlueOak-1.0.0",
+    "MS-PL", "PostgreSQL", "PSF-2.0", "MIT-0", "Apache-1.1", "BSD-4-Clause", "MPL-1.1", "AFL-3.0", "NCSA", "UPL-1.0", "CECILL-2.1", "Ruby", "Vim", "X11", "curl", "libpng-2.0", "BlueOak-1.0.0",
 ]
 #: Sentences that name their holder, by what stands before and after the name, in normal form, and the holder of the known one.
 HOLDERS = [
